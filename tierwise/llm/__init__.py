@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwise.llm import substring_dedup, token_counts
+from tierwise.llm import near_dedup, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+        "op3_near_dedup": near_dedup.op3_near_dedup,
         "op2_token_counts": token_counts.op2_token_counts,
     }
 
