@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwise.llm import near_dedup, substring_dedup, token_counts
+from tierwise.llm import near_dedup, packing, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op3_near_dedup": near_dedup.op3_near_dedup,
+        "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op2_token_counts": token_counts.op2_token_counts,
     }
 
