@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwise.llm import language_id, near_dedup, packing, substring_dedup, token_counts
+from tierwise.llm import language_id, near_dedup, packing, quality_rules, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_near_dedup": near_dedup.op3_near_dedup,
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op10_language_id": language_id.op10_language_id,
+        "op8_quality_rules": quality_rules.op8_quality_rules,
         "op2_token_counts": token_counts.op2_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_quality_rules": quality_rules.ORACLE,
+    }
