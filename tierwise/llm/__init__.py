@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwise.llm import language_id, near_dedup, packing, quality_rules, substring_dedup, token_counts
+from tierwise.llm import language_id, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,11 +16,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": packing.op6_best_fit_packing,
         "op10_language_id": language_id.op10_language_id,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op7_license_scan": license_scan.op7_license_scan,
+        "op9_url_filter": url_filter.op9_url_filter,
         "op2_token_counts": token_counts.op2_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_license_scan": license_scan.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
     }
