@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwise.llm import language_id, license_scan, near_dedup, packing, quality_rules, substring_dedup, token_counts, url_filter
+from tierwise.llm import decontamination, language_id, license_scan, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op7_license_scan": license_scan.op7_license_scan,
         "op9_url_filter": url_filter.op9_url_filter,
+        "op4_secret_scan": secret_scan.op4_secret_scan,
+        "op5_decontamination": decontamination.op5_decontamination,
         "op2_token_counts": token_counts.op2_token_counts,
     }
 
