@@ -279,7 +279,7 @@ def test_leaks(spark):
     items = [words(40), words(20), words(60), None, "tiny", words(40)]
     changed = list(items[2])
     changed[30], changed[90:92] = "Z", "qq7"
-    texts = [None, "", words(50), f"{words(30)}\n{items[0].upper()} {words(3)}", items[1].replace(" ", "  \n"), words(9) + " " + "".join(changed), f"x {items[5][:60]} y", items[0] + " " + items[1], "tiny tiny"]
+    texts = [None, "", words(50), f"{words(30)}\n{items[0].upper()} {words(3)}", items[1].replace(" ", "  \n"), words(9) + " " + "".join(changed), f"x {items[5][:40]} y", items[0] + " " + items[1], "tiny tiny"]
     benchmark = spark.createDataFrame([(i, t, "e") for i, t in enumerate(items)], "item_id long, text string, extra string")
     found = {(r.doc_id, r.item_id) for r in leaks(frame(spark, texts), benchmark).collect()}
     assert found == {(3, 0), (4, 1), (5, 2), (7, 0), (7, 1)}
@@ -305,7 +305,7 @@ def test_filter_loses_no_region():
 
 
 def test_licenses(spark):
-    texts = [None, "", "MIT License", "the mit-license and Apache License, general public\nlicense mit license", "xmit license", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person obtaining some copy of this software and associated documentation files"]
+    texts = [None, "", "MIT License", "the mit-license and Apache License, general public\nlicense mit license", "xmit license", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person obtaining some copy of this software and associated documentation files (the Software), to deal in it"]
     got = {r.doc_id: r for r in license_scan.scan(frame(spark, texts)).collect()}
     line = lambda i: (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels, got[i].labels)
     assert line(0) == line(1) == (0, 0, None, None, "", "") and got[0].score == 0

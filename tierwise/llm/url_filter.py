@@ -81,7 +81,9 @@ def rejected(trees: DataFrame, prior: float = PRIOR, purity: float = PURITY, lab
     share = (F.col("pool_bad") + prior / 2) / (F.col("pool_n") + prior)
     error = F.sqrt(share * (1 - share) / n)
     alike = F.col("known") & (F.abs(F.col("bad") / n - share) <= z * error)
-    merged = pool.withColumn("alike", F.when(F.col("known"), alike).otherwise(F.lit(False))).withColumn("template", F.when(F.col("alike"), F.concat("parent", F.array(F.lit("*")))).otherwise(F.col("tree")))
+    several = pool.withColumn("alike", F.when(F.col("known"), alike).otherwise(F.lit(False)))
+    several = several.withColumn("alike", F.col("alike") & (F.sum(F.col("alike").cast("int")).over(siblings) > 1))
+    merged = several.withColumn("template", F.when(F.col("alike"), F.concat("parent", F.array(F.lit("*")))).otherwise(F.col("tree")))
     of = Window.partitionBy("host", "template", "alike")
     bad, total = F.sum("bad").over(of), F.sum(n).over(of)
     judged = merged.withColumn("reject", (total >= labelled) & ((bad + prior / 2) / (total + prior) >= purity)).select("host", "tree", "template", "reject")
