@@ -248,6 +248,20 @@ def test_secrets(spark):
     assert secret_scan.scan(frame(spark, []), forest).count() == 0
 
 
+def test_long_secrets(spark):
+    """A secret of any length is found and replaced whole."""
+    forest = secret_scan.train()
+    rnd = random.Random(21)
+    pick = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    keys = [pick(512), pick(513), pick(1600) + "==", "eyJ" + pick(700).replace("/", "_") + "." + pick(43).replace("/", "_"), pick(20_000)]
+    path = "/".join("these are other things on the list".split() * 40) + "/2024"
+    docs = frame(spark, [*(f'private key = "{k}" end' for k in keys), f"see https://{path} now"])
+    found = sorted((r.doc_id, r.start, r.length) for r in secret_scan.scan(docs, forest).collect())
+    assert found == [(i, 15, len(k)) for i, k in enumerate(keys)]
+    clean = [r.text for r in secret_scan.redacted(docs, forest).orderBy("doc_id").collect()]
+    assert clean == ['private key = "[SECRET]" end'] * len(keys) + [f"see https://{path} now"]
+
+
 def edit_distance(s: bytes, t: bytes) -> int:
     """The least edits of s against any part of t."""
     row = [0] * (len(t) + 1)

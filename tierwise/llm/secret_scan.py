@@ -1,7 +1,8 @@
 """Secret scans: candidates by a pattern, false positives removed by a random forest.
 
 A candidate is a run of at least ``SHORTEST`` key characters with a digit, with upper and lower case
-letters inside, or of a well-known key's shape. Its features: length, shares of character classes, transitions between classes, entropy,
+letters inside, or of a well-known key's shape; a run of any length is one candidate, scored and replaced
+whole (so a key inside a path is judged with the path). Its features: length, shares of character classes, transitions between classes, entropy,
 coverage by common words and letter pairs of running text, shape of a path, and the words, quotes and
 signs before and after it. The forest is trained on labelled findings: those given, or a documented,
 seeded set of made-up ones of both kinds, ``FINDINGS`` of each.
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierwise.llm.common import map_arrow, schema_of, table, text_rows
 
-SHORTEST, LONGEST = 12, 512
+SHORTEST = 12
 FINDINGS, TREES, DEPTH, LEAST_SCORE = 1500, 40, 9, 0.5
 AROUND = 40
 MARK = "[SECRET]"
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{{{SHORTEST},{LONGEST}}}={{0,2}}")
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{{{SHORTEST},}}={{0,2}}")
 #: Words that name a secret, words that name another identifier, and common words.
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "credential", "credentials", "auth", "authorization", "bearer", "private", "access"]
 OTHER_WORDS = ["sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "isbn", "doi", "version", "file", "path", "url", "http", "https", "www", "image", "phone", "card"]
