@@ -365,6 +365,21 @@ def test_url_templates(spark):
     assert all(r.verdict == "block" for r in found if r.host == "h.net") and sum(r.verdict == "block" for r in found if r.host == "k.com") == 1
 
 
+def test_url_evidence_of_siblings_and_deep_branches(spark):
+    deep = "http://d.com/a/b/c/d/e"
+    urls = [f"http://n.net/{x}/{i}" for x in ("es", "fr", "en") for i in range(10)]
+    urls += [f"http://one.net/{x}/{i}" for x in ("es", "en") for i in range(10)]
+    urls += [f"{deep}/{x}/{i}" for x in ("bad", "good") for i in range(30)] + [f"{deep}/other/{i}" for i in range(3)]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rules = [("net", "/es/", "block"), ("net", "/fr/", "block"), ("d.com", "/a/b/c/d/e/bad/1", "block"), ("d.com", "/a/b/c/d/e/good/1", "allow")]
+    found = url_filter.filtered(rows, rules=rules).collect()
+    verdicts = lambda host, part: {r.verdict for r in found if r.host == host and part in r.path}
+    # two labelled branches alike speak for a third one, a single branch does not
+    assert verdicts("n.net", "/en/") == {"block"} and verdicts("one.net", "/en/") == {"allow"}
+    # below the fourth level branches stay apart
+    assert verdicts("d.com", "/bad/") == {"block"} and verdicts("d.com", "/good/") == {"allow"} and verdicts("d.com", "/other/") == {"allow"}
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_duckdb(spark, data, name):
     assert rows_of(queries()[name](spark, data)) == duck_rows(oracle_sql()[name], data)

@@ -2,10 +2,14 @@
 
 Each host has a tree of path templates. Segments that look like identifiers (digits, long hexadecimal) are
 wildcards from the start; then, level by level from the root, a branch with many children of few pages
-each has its children generalised to a wildcard. Pages decided by a rule label their templates. Sibling
-templates whose labelled shares do not differ (a two-proportion z-test) are merged into their parent's
-wildcard, and a template is rejected when the smoothed share of blocked pages among its labelled ones
-reaches ``PURITY``. Everything unknown is allowed.
+each has its children generalised to a wildcard, down to the deepest. Pages decided by a rule label their
+templates and all branches above. Sibling branches, at any level, whose labelled shares do not differ (a
+two-proportion z-test) are merged into their parent's wildcard, which also stands for siblings without labels.
+
+A template has evidence if ``LABELLED`` of its own pages are labelled or a merged wildcard above stands for it.
+It is rejected when its share of blocked pages reaches ``PURITY``: shares are smoothed from the root on, each
+branch by that of what stands above it. Everything without evidence is allowed; one labelled branch alone says
+nothing of its siblings.
 
 Only distinct templates with counts are grouped and compared, after map-side sums; pages meet them in one
 join, whose template side has one row for each key.
@@ -16,15 +20,15 @@ repeated pages are judged alike; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwise.llm.common import table
+from tierwise.llm.common import stored, table
 
 #: Fixed values: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Levels of a tree that are generalised; deeper segments are one tail.
-DEPTH = 4
+#: Levels that are generalised between tables written and read again; there are as many as the deepest path has.
+LEVELS = 4
 #: A branch with so many children of at most so many pages on average has variable children.
 CHILDREN, PAGES_EACH = 8, 3
 PRIOR, PURITY, LABELLED, Z = 2.0, 0.8, 5, 1.64
@@ -51,13 +55,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 
 
 def segments(path: str) -> Column:
-    """The segments of a path, identifiers as wildcards, what lies deeper than DEPTH in one tail."""
+    """The segments of a path, identifiers as wildcards."""
     cut = F.filter(F.split(F.col(path), "/"), lambda x: x != "")
-    plain = F.transform(cut, lambda x: F.when(x.rlike(r"\d|^[0-9a-fA-F]{16,}$"), F.lit("*")).otherwise(x))
-    return F.when(F.size(plain) > DEPTH, F.concat(F.slice(plain, 1, DEPTH), F.array(F.lit("**")))).otherwise(plain)
+    return F.transform(cut, lambda x: F.when(x.rlike(r"\d|^[0-9a-fA-F]{16,}$"), F.lit("*")).otherwise(x))
 
 
-def generalised(templates: DataFrame, depth: int = DEPTH, children: int = CHILDREN, pages_each: int = PAGES_EACH) -> DataFrame:
+def generalised(templates: DataFrame, depth: int, children: int = CHILDREN, pages_each: int = PAGES_EACH) -> DataFrame:
     """templates: host, own (segments as found), pages. Adds tree: the segments after generalisation, level by level."""
     found = templates.withColumn("tree", F.col("own"))
     for level in range(1, depth + 1):
@@ -67,26 +70,46 @@ def generalised(templates: DataFrame, depth: int = DEPTH, children: int = CHILDR
         found = found.join(wide.select("host", "above", F.lit(True).alias("wide")), ["host", "above"], "left")
         star = F.concat(F.col("above"), F.array(F.lit("*")), F.slice("tree", level + 1, F.greatest(F.size("tree") - level, F.lit(0))))
         found = found.withColumn("tree", F.when(F.col("wide") & F.col("here").isNotNull(), star).otherwise(F.col("tree"))).drop("above", "here", "wide")
+        if level % LEVELS == 0 and level < depth:
+            found = stored(found)
     return found
 
 
+def branches(leaf: DataFrame, labelled: int = LABELLED, z: float = Z) -> DataFrame:
+    """leaf: host, tree, bad, good. host, node, bad, n, alike of each branch; wild_bad, wild_n of its siblings' wildcard, null if none."""
+    levels = F.explode(F.sequence(F.lit(0), F.size("tree")))
+    nodes = leaf.select("host", "tree", "bad", "good", levels.alias("level")).groupBy("host", F.expr("slice(tree, 1, level)").alias("node")).agg(F.sum("bad").alias("bad"), F.sum(F.col("bad") + F.col("good")).alias("n"))
+    nodes = nodes.withColumn("parent", F.when(F.size("node") > 0, F.slice("node", 1, F.greatest(F.size("node") - 1, F.lit(0)))))
+    # siblings with enough labels are compared with what all of them hold together
+    known = nodes.where((F.col("n") >= labelled) & F.col("parent").isNotNull())
+    pool = known.groupBy("host", "parent").agg(F.sum("bad").alias("pool_bad"), F.sum("n").alias("pool_n"))
+    share = (F.col("pool_bad") + PRIOR / 2) / (F.col("pool_n") + PRIOR)
+    alike = known.join(pool, ["host", "parent"]).where(F.abs(F.col("bad") / F.col("n") - share) <= z * F.sqrt(share * (1 - share) / F.col("n")))
+    wild = alike.groupBy("host", "parent").agg(F.sum("bad").alias("wild_bad"), F.sum("n").alias("wild_n"), F.count("*").alias("several")).where("several > 1").drop("several")
+    found = nodes.join(wild, ["host", "parent"], "left").join(alike.select("host", "node", F.lit(True).alias("alike")), ["host", "node"], "left")
+    return found.select("host", "node", "bad", "n", (F.col("alike").isNotNull() & F.col("wild_n").isNotNull()).alias("alike"), "wild_bad", "wild_n")
+
+
 def rejected(trees: DataFrame, prior: float = PRIOR, purity: float = PURITY, labelled: int = LABELLED, z: float = Z) -> DataFrame:
     """trees: host, own, tree, blocked, allowed. host, own, template, reject of each template as found."""
     leaf = trees.groupBy("host", "tree").agg(F.sum("blocked").alias("bad"), F.sum("allowed").alias("good"))
-    n = F.col("bad") + F.col("good")
-    # siblings: templates of one parent, compared with what all of them hold together
-    siblings = Window.partitionBy("host", "parent")
-    leaf = leaf.withColumn("parent", F.slice("tree", 1, F.greatest(F.size("tree") - 1, F.lit(0)))).withColumn("known", n >= labelled)
-    pool = leaf.withColumn("pool_bad", F.sum(F.when(F.col("known"), F.col("bad"))).over(siblings)).withColumn("pool_n", F.sum(F.when(F.col("known"), n)).over(siblings))
-    share = (F.col("pool_bad") + prior / 2) / (F.col("pool_n") + prior)
-    error = F.sqrt(share * (1 - share) / n)
-    alike = F.col("known") & (F.abs(F.col("bad") / n - share) <= z * error)
-    several = pool.withColumn("alike", F.when(F.col("known"), alike).otherwise(F.lit(False)))
-    several = several.withColumn("alike", F.col("alike") & (F.sum(F.col("alike").cast("int")).over(siblings) > 1))
-    merged = several.withColumn("template", F.when(F.col("alike"), F.concat("parent", F.array(F.lit("*")))).otherwise(F.col("tree")))
-    of = Window.partitionBy("host", "template", "alike")
-    bad, total = F.sum("bad").over(of), F.sum(n).over(of)
-    judged = merged.withColumn("reject", (total >= labelled) & ((bad + prior / 2) / (total + prior) >= purity)).select("host", "tree", "template", "reject")
+    above = leaf.select("host", "tree", (F.col("bad") + F.col("good")).alias("own_n"), F.explode(F.sequence(F.lit(0), F.size("tree"))).alias("level")).withColumn("node", F.expr("slice(tree, 1, level)"))
+    line = above.join(branches(leaf, labelled, z), ["host", "node"]).groupBy("host", "tree", "own_n").agg(F.sort_array(F.collect_list(F.struct("level", "bad", "n", "alike", "wild_bad", "wild_n"))).alias("line"))
+
+    def smoothed(state: Column, bad: Column, n: Column) -> Column:
+        """The share and number of labels after a branch; one that holds the same labels as what is above it adds nothing."""
+        n = F.coalesce(n, state["n"])
+        share = F.when(n == state["n"], state["share"]).otherwise((bad + prior * state["share"]) / (n + prior))
+        return F.struct(share.alias("share"), n.alias("n"))
+
+    start = F.struct(F.lit(0.5).alias("share"), F.lit(-1).cast("long").alias("n"))
+    steps = F.flatten(F.transform("line", lambda x: F.array(F.struct(x["wild_bad"].alias("bad"), x["wild_n"].alias("n")), F.struct(x["bad"].alias("bad"), x["n"].alias("n")))))
+    share = F.aggregate(steps, start, lambda state, x: smoothed(state, x["bad"], x["n"]))["share"]
+    wild = F.element_at(F.transform(F.filter("line", lambda x: x["wild_n"].isNotNull()), lambda x: x["level"]), -1)
+    known = F.col("own_n") >= labelled
+    found = line.withColumn("wild", F.when(F.exists("line", lambda x: x["wild_n"].isNotNull()), wild)).withColumn("merged", F.element_at("line", -1)["alike"])
+    template = F.when(F.col("wild").isNotNull() & (F.col("merged") | ~known), F.expr("concat(slice(tree, 1, wild - 1), array('*'))")).otherwise(F.col("tree"))
+    judged = found.select("host", "tree", template.alias("template"), ((known | F.col("wild").isNotNull()) & (share >= purity)).alias("reject"))
     return trees.select("host", "own", "tree").distinct().join(judged, ["host", "tree"]).select("host", "own", "template", "reject")
 
 
@@ -98,7 +121,9 @@ def filtered(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     rows = rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("decided"), segments("path").alias("own"))
     count = lambda v: F.sum((F.col("decided") == v).cast("long"))
     templates = rows.groupBy("host", "own").agg(F.count("*").alias("pages"), F.coalesce(count("block"), F.lit(0)).alias("blocked"), F.coalesce(count("allow"), F.lit(0)).alias("allowed"))
-    judged = rejected(generalised(templates))
+    templates = stored(templates)
+    depth = templates.agg(F.coalesce(F.max(F.size("own")), F.lit(0)).alias("depth")).first().depth
+    judged = rejected(stored(generalised(templates, depth)))
     found = rows.join(judged, ["host", "own"], "left")
     method = F.when(F.col("reject"), F.lit("block")).otherwise("allow")
     return found.select("page_id", "host", "path", "rule", F.coalesce("decided", method).alias("verdict"), F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"))
