@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing of every text against all reference blocks.
+"""Substring dedup by hashes of content-defined blocks and windows, in place of greedy relative Lempel-Ziv parsing.
 
 Texts are cut into overlapping blocks whose borders depend on content alone: each window
 of ``window`` words is led by its smallest ``SEED``-word seed, and a block is what the
