@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 from tierwise.llm import decontamination, language_id, near_dedup, packing, secret_scan
 from tierwise.llm.common import stored, table
 
-#: A text whose language is less certain is rejected; with four languages chance is 0.25.
+#: A text whose language is less certain is rejected: the least score where chance is 0.25, that is with four languages.
 LEAST_SCORE = 0.3
 
 
+def least_score(languages: int) -> float:
+    """The score as far above chance, as a share of what is left to certainty, as LEAST_SCORE is with four languages."""
+    chance = 1 / languages
+    return chance + (LEAST_SCORE - 0.25) / 0.75 * (1 - chance)
+
+
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the classifier accepts; those without a letter or with a low score go.
 
     The classifier learns from the documents' own language labels, on the folds that are not held out.
+    Without any label only texts without a letter go; with one language every other text is certain.
     """
     model = language_id.train(docs)
+    texts = docs.withColumn("text", F.col("text").cast("string"))
     if model is None:
-        return docs
+        return language_id.with_letters(texts)
     lang, score = "__lang_pred", "__score"
-    found = language_id.identify(docs.withColumn("text", F.col("text").cast("string")), model, "text", lang, score)
-    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.identify(texts, model, "text", lang, score)
+    return found.where((F.col(lang) != "und") & (F.col(score) >= least_score(len(model.languages)))).select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

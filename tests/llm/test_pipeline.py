@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
 from tests.llm.test_text_operators import frame
 from tierwise.llm.common import stored
@@ -31,3 +33,17 @@ def test_odd_documents(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         empty = stored(stage(spark, empty, data))
     assert empty.count() == 0
+
+
+def test_language_gate(spark, data):
+    """Uncertain texts go with two and three languages too, letterless ones also when nothing was learned."""
+    unlabelled = frame(spark, [None, "", "123 !!", "kalo mita", "kalo mita"], [1, 2, 3, 4, None], None)
+    assert sorted(((r.doc_id, r.text) for r in corpus_pipeline.identified(spark, unlabelled, data).collect()), key=repr) == [(4, "kalo mita"), (None, "kalo mita")]
+    words = {"aa": "kalo mita", "bb": "sün ßer", "cc": "quelos ção"}
+    for n in (2, 3):
+        langs = list(words)[:n]
+        docs = frame(spark, [words[x] for x in langs for _ in range(20)]).drop("lang").join(spark.createDataFrame([(i, langs[i // 20]) for i in range(20 * n)], "doc_id long, lang string"), "doc_id")
+        odd = frame(spark, ["zzzz"], [1000], None).select(docs.columns)
+        got = {r.doc_id for r in corpus_pipeline.identified(spark, docs.unionByName(odd), data).collect()}
+        assert got == set(range(20 * n))
+    assert corpus_pipeline.least_score(4) == pytest.approx(corpus_pipeline.LEAST_SCORE) and corpus_pipeline.least_score(1) == 1

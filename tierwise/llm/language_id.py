@@ -172,6 +172,16 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", lang_
     return map_arrow(docs, run, schema)
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text has a letter: those that any model gives a language."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flags = np.zeros(FEATURES, np.uint8)
+        return batch.filter(pa.array([bool(text and presence(text, flags)) for text in batch.column(text_col).to_pylist()], pa.bool_()))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: whether it is held out, its predicted language, and a score."""
     docs = table(spark, sf_dir, "documents")
