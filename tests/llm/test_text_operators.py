@@ -132,6 +132,60 @@ def test_near_duplicates(spark, size, num, den):
     assert [got[i] for i in range(len(texts))] == brute_groups(texts, size, num, den)
 
 
+def crowded(seed):
+    """Large groups: edits of one text, of texts near it, deletions, beginnings, a drifting chain, edits with few words."""
+    rnd = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    words = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+
+    def edited(w, n, choice=vocabulary):
+        w = list(w)
+        for _ in range(n):
+            w[rnd.randrange(len(w))] = rnd.choice(choice)
+        return w
+
+    base = words(130)
+    near = edited(base, 6)
+    out = [edited(base, rnd.randint(0, 12)) for _ in range(60)] + [edited(near, rnd.randint(0, 6)) for _ in range(50)]
+    out += [base[: rnd.randint(50, 130)] for _ in range(30)]
+    for _ in range(40):
+        shorter = list(base)
+        for _ in range(rnd.randint(0, 14)):
+            del shorter[rnd.randrange(len(shorter))]
+        out.append(shorter)
+    now = words(110)
+    for _ in range(25):
+        now = edited(now, 3)
+        out.append(now)
+    out += [edited([f"z{i}" for i in range(90)], rnd.randint(0, 8), ["p", "q", "r"]) for _ in range(60)]
+    rnd.shuffle(out)
+    return [" ".join(x) for x in out]
+
+
+@pytest.mark.parametrize(("short", "each", "levels"), [(8, (2, 32), 4), (2, (0, 0), 2), (2, (0, 0), 0)])
+def test_near_duplicates_in_large_groups(spark, monkeypatch, short, each, levels):
+    """The same links whether lists give their pairs or meet hubs, and however many levels there are."""
+    monkeypatch.setattr(near_dedup, "SHORT", short)
+    monkeypatch.setattr(near_dedup, "EACH", each)
+    monkeypatch.setattr(near_dedup, "LEVELS", levels)
+    texts = crowded(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(frame(spark, texts), size=3, num=85, den=100).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_groups(texts, 3, 85, 100)
+
+
+def test_near_duplicates_of_an_id_with_two_texts(spark):
+    """Both texts of an id have their own links."""
+    rnd = random.Random(2)
+    one, two = ([f"{x}{rnd.randrange(900)}" for _ in range(80)] for x in "ab")
+    texts = [one, two, one[:-1], two[:-1], ["q"] * 5, two]
+    rows = near_dedup.near_duplicates(frame(spark, [" ".join(x) for x in texts] + ["", "x " * 9], [5, 5, 6, 7, 8, 5, 9, 9])).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(5, 5), (6, 5), (7, 5), (8, 8), (9, 9)}
+    # a very long text beside a copy with one edit, and a null text of an id that has a text too
+    long = [f"w{rnd.randrange(10**6)}" for _ in range(60000)]
+    rows = near_dedup.near_duplicates(frame(spark, [" ".join(long), " ".join(long[:-1]), None, "a b"], [1, 2, 2, 3])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 1), (2, 1), (3, 3)]
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = near_dedup.near_duplicates(frame(spark, ["a b c d e f", "a b c d e f", "x y", "x y"], [4, 4, None, None])).collect()
     assert sorted(((r.doc_id, r.component_id, r.kept) for r in rows), key=repr) == [(4, 4, True), (4, 4, True), (None, None, True), (None, None, True)]

@@ -19,23 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. A new local one only in a session of one machine; without a folder a cluster raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     have = spark.sparkContext.getCheckpointDir()
     if have is None:
+        if found is None and not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         have = found or tempfile.mkdtemp(prefix="tierwise-checkpoint-")
         spark.sparkContext.setCheckpointDir(have)
     return found or have
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends there, and every executor can read it."""
+def stored(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """df written as a table in the shared folder and read again: lineage ends there, and every executor can read it.
+
+    Its path is added to scratch, for discard().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tierwise-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while scratch:
+        path = jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
