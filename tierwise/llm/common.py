@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Most rows of an Arrow batch: batches of long texts stay small in the JVM and in its workers. map_arrow() lowers the session's setting to it.
+BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,10 @@ def text_tag(text: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over."""
+    """mapInArrow with a function of one batch; empty batches are passed over, batches of the session get BATCH_ROWS rows at most."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
+        conf.set(BATCH, str(BATCH_ROWS))
 
     def run(batches):
         for batch in batches:
