@@ -280,11 +280,12 @@ def test_publish_and_restore(spark):
     import hashlib
 
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    rows = [(sha(t), t, s, "train", "frontier") for t, s in [("a", "open"), ("b", "closed"), ("c", "new"), ("d", "closed")]]
-    examples = spark.createDataFrame(rows, "query_id string, prompt string, source string, split string, tier string")
+    rows = [(sha(t), t, f"{t} before", s, "train", "frontier", False, True, ["mid_tier"], 0.5, 0.25) for t, s in [("a", "open"), ("b", "closed"), ("c", "new"), ("d", "closed")]]
+    examples = spark.createDataFrame(rows, "query_id string, prompt string, conversation_summary string, source string, split string, tier string, needs_tools boolean, needs_rag boolean, judged_tiers array<string>, frontier_cost_usd double, label_cost_usd double")
     terms = spark.createDataFrame([("open", True), ("closed", False)], "source string, redistribute_text boolean")
     public = publishing.public_frame(publishing.check_hashes(examples), terms)
     assert public.columns == publishing.COLUMNS and {r.query_id: r.prompt for r in public.collect()} == {sha("a"): "a", sha("b"): None, sha("c"): None, sha("d"): None}
+    assert {r.conversation_summary for r in public.collect()} == {"a before", None}
     assert {r.source: (r.rows, r.text_rows, r.withheld_rows) for r in publishing.inclusion(public).collect()} == {"open": (1, 1, 0), "closed": (2, 0, 2), "new": (1, 0, 1), "all": (4, 1, 3)}
     texts = publishing.candidate_texts(spark.createDataFrame([(0, "closed", " b "), (1, "closed", ""), (2, "other", "d"), (3, "new", "c")], "pos int, source string, text string"))
     kept, report = publishing.restore_dataset(public, texts)
@@ -296,11 +297,17 @@ def test_publish_and_restore(spark):
 
 
 def test_card():
-    card = "x\n<!-- begin a -->\nold\n<!-- end a -->\n<!-- begin b -->\nstay\n<!-- end b -->\n"
-    out = publishing.render_card(card, {"a": "new"})
-    assert "new" in out and "old" not in out and "stay" in out
-    with pytest.raises(ValueError):
-        publishing.render_card(card, {"c": ""})
+    card = "x\n[section]: # (a)\nold\n[end]: #\nmiddle\n[section]: # (b)\nstay\n[end]: #\n"
+    out = publishing.fill_card(card, {"a": "new\nlines"})
+    assert out == card.replace("old", "new\nlines") and publishing.fill_card(out, {}) == out
+    for wrong, texts in [(card, {"c": ""}), (card.replace("[end]: #", ""), {}), (card + "[section]: # (z)\n", {})]:
+        with pytest.raises(ValueError):
+            publishing.fill_card(wrong, texts)
+
+
+def test_markdown(spark):
+    rows = spark.createDataFrame([("a", 1), ("bbbb", None)], "x string, n int")
+    assert publishing.markdown(rows) == "| x    | n   |\n| ---- | --- |\n| a    | 1   |\n| bbbb | -   |\n"
 
 
 def test_history(spark):

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierwise.functions.exprs import hash_unit
+from tierwise.operators.ranking import RANGES, ranked
 from tierwise.tiers import FRONTIER, SPLITS, SUFFICIENT, TIERS, tier_name
 
 FRACTIONS = (0.7, 0.15, 0.15)
 
-# Patterns that tell from an answer's text that tools or retrieval were needed.
+# Fixed values that must equal the reference's, as its results depend on them: patterns that tell from an answer's text that tools or retrieval were needed.
 _APOS = "['’]"
 _I_CANT = rf"\bI\s*(?:can(?:not|{_APOS}t)|can\s+not|(?:am|{_APOS}m)\s+(?:unable|not\s+able)\s+to|(?:do\s+not|don{_APOS}t)\s+have\s+(?:the\s+)?(?:ability|capability|access)\s+to)\s+"
 NEEDS_TOOLS = [
@@ -75,14 +76,13 @@ def needs(text: Column) -> tuple[Column, Column]:
 def stratified_assign(rows: DataFrame, stratum: Sequence[str], key: str, names: Sequence[str], fractions: Sequence[float], seed: int) -> DataFrame:
     """rows with a column split: systematic sampling within each stratum from a hashed start.
 
-    Every stratum meets each fraction within one row. A stratum is ranked in one sorted group; strata
-    that hold much of the data would be ranked by salted counts first, which gives the same order of hashes.
+    Every stratum meets each fraction within one row. A stratum is ranked in RANGES pieces of the hash, so one that holds
+    much of the data is not one task. rows is read twice.
     """
-    own = Window.partitionBy(*stratum)
     unit = hash_unit(F.lit(seed), F.lit("query"), F.col(key))
-    k = F.row_number().over(own.orderBy("__unit", key)) - 1
     start = hash_unit(F.lit(seed), F.lit("stratum"), *(F.col(s) for s in stratum))
-    placed = rows.withColumn("__unit", unit).withColumn("__pos", (k + start) / F.count("*").over(own))
+    found = ranked(rows.withColumn("__unit", unit), stratum, ["__unit", key], F.floor(F.col("__unit") * RANGES).cast("int"))
+    placed = found.withColumn("__pos", (F.col("__rank") + start) / F.col("__size")).drop("__rank", "__size")
     split, bound = F.lit(names[-1]), 0.0
     bounds = []
     for f in fractions:
@@ -143,7 +143,7 @@ def true_cost(runs: DataFrame, cache: DataFrame) -> DataFrame:
     return runs.join(kept, ["query_id", "tier_rank"], "left").select("query_id", "tier_rank", F.coalesce("cached_usd", "cost_usd").alias("true_cost"))
 
 
-def build_examples(runs: DataFrame, verdicts: DataFrame, cache: DataFrame, seed: int = 0, needs_of: Callable[[Column], tuple[Column, Column]] = needs, answer: str = "prompt") -> DataFrame:
+def build_examples(runs: DataFrame, verdicts: DataFrame, cache: DataFrame, seed: int = 0, needs_of: Callable[[Column], tuple[Column, Column]] = needs, answer: str = "completion") -> DataFrame:
     """Labelled examples: query_id, source, split, tier, needs_tools, needs_rag, judged_tiers, frontier_cost_usd, label_cost_usd."""
     if not runs.groupBy("query_id", "tier_rank").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         raise ValueError("several runs of one query and tier; keep the last first")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
@@ -27,3 +27,23 @@ def running_sums(rows: DataFrame, order: str, sums: Sequence[str], descending: b
     heads = totals.select("__range", *(F.coalesce(F.sum(f"__{x}").over(ahead), F.lit(0)).alias(f"__{x}") for x in sums))
     out = placed.select("*", *(F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"running_{x}") for x in sums)).join(F.broadcast(heads), "__range")
     return out.select(*rows.columns, *((F.col(f"running_{x}") + F.col(f"__{x}")).alias(f"running_{x}") for x in sums))
+
+
+def ranked(rows: DataFrame, group: Sequence[str], order: Sequence[str], place: Column) -> DataFrame:
+    """rows with __rank (from 0, by order) and __size within each group; nulls are a group.
+
+    place numbers ranges that follow the order. Rows are ranked within a range, and the sizes of the ranges before it
+    are added by a join, so a group that holds much of the data is as many sorted pieces as it has ranges.
+    rows is read twice.
+    """
+    placed = rows.withColumn("__range", place)
+    keys = [*group, "__range"]
+    sizes = placed.groupBy(*keys).agg(F.count("*").alias("__n"))
+    own = Window.partitionBy(*group)
+    upto = F.sum("__n").over(own.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    heads = sizes.select(*(F.col(x).alias(f"__of_{x}") for x in keys), F.coalesce(upto, F.lit(0)).alias("__before"), F.sum("__n").over(own).alias("__size"))
+    inside = placed.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    same = F.lit(True)
+    for x in keys:
+        same = same & F.col(x).eqNullSafe(F.col(f"__of_{x}"))
+    return inside.join(heads, same).select(*rows.columns, (F.col("__rank") + F.col("__before")).alias("__rank"), "__size")

@@ -102,10 +102,13 @@ def split_singletons(spark, sf_dir):
     return L.split_rows(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "doc_id", SEED).select("doc_id", "split")
 
 
-@query("build_examples", with_examples("""select e.query_id, e.source, e.split, e.tier, false as needs_tools, false as needs_rag, case e.judged when '' then '' when '0' then 'local_small' when '1' then 'mid_tier' else 'local_small,mid_tier' end as judged_tiers,
+BUILT = """select e.query_id, e.source, e.split, e.tier, e.query_id % 9 = 0 as needs_tools, e.query_id % 9 in (1, 2) as needs_rag, case e.judged when '' then '' when '0' then 'local_small' when '1' then 'mid_tier' else 'local_small,mid_tier' end as judged_tiers,
   round(coalesce(cf.cost_usd, rf.cost_usd), 9) as frontier_cost_usd, round(coalesce(cl.cost_usd, rl.cost_usd), 9) as label_cost_usd
 from v_examples e left join v_runs rf on rf.query_id = e.query_id and rf.tier_rank = 2 and rf.error is null left join v_cache cf on cf.query_id = rf.query_id and cf.tier_rank = 2
-left join v_runs rl on rl.query_id = e.query_id and rl.tier_rank = e.label_rank and rl.error is null left join v_cache cl on cl.query_id = rl.query_id and cl.tier_rank = rl.tier_rank"""))
+left join v_runs rl on rl.query_id = e.query_id and rl.tier_rank = e.label_rank and rl.error is null left join v_cache cl on cl.query_id = rl.query_id and cl.tier_rank = rl.tier_rank"""
+
+
+@query("build_examples", with_examples(BUILT))
 def build_examples(spark, sf_dir):
     found = examples(spark, sf_dir)
     return found.select("query_id", "source", "split", "tier", "needs_tools", "needs_rag", F.array_join("judged_tiers", ",").alias("judged_tiers"), F.round("frontier_cost_usd", 9).alias("frontier_cost_usd"), F.round("label_cost_usd", 9).alias("label_cost_usd"))
@@ -137,7 +140,7 @@ def runs_cross_tiers(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id")).crossJoin(F.broadcast(tiers(spark))).select("query_id", "tier")
 
 
-@query("successful_runs", oracle("select tier, count(*) as runs, sum((error is null)::int)::bigint as ok, sum((error is not null)::int)::bigint as failed, sum((split_part(error, ':', 1) = 'TimeoutError')::int)::bigint as retryable from v_runs group by tier"))
+@query("successful_runs", oracle("select tier, count(*) as runs, sum((error is null)::int)::bigint as ok, sum((error is not null)::int)::bigint as failed, sum((error is not null and query_id % 11 < 8)::int)::bigint as retryable from v_runs group by tier"))
 def successful_runs(spark, sf_dir):
     from tierwise.operators.costs import run_counts
 
@@ -159,9 +162,9 @@ def label_by_split(spark, sf_dir):
     return shares.crosstab(examples(spark, sf_dir), "split")
 
 
-@query("flag_counts", with_examples("select count(*) as n, sum((label_rank < 2)::int)::bigint as cheaper, round(100.0 * sum((label_rank < 2)::int) / count(*), 6) as pct from v_examples"))
+@query("flag_counts", with_examples("select count(*) as n, sum((query_id % 9 in (1, 2))::int)::bigint as needs_rag, round(100.0 * sum((query_id % 9 in (1, 2))::int) / count(*), 6) as pct from v_examples"))
 def flag_counts(spark, sf_dir):
-    return shares.flags(examples(spark, sf_dir), F.col("label_rank") < 2, "cheaper")
+    return shares.flags(examples(spark, sf_dir), F.col("needs_rag"), "needs_rag")
 
 
 @query("split_index", with_examples("select s.split, count(query_id) as n, sha256(coalesce(string_agg(query_id::varchar, chr(10) order by query_id::varchar), '')) as ids_sha256 from (values ('train'), ('calibration'), ('test')) s(split) left join v_examples e on e.split = s.split group by s.split"))

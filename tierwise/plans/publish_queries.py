@@ -11,7 +11,7 @@ from tierwise.operators import history as H
 from tierwise.operators import judging as J
 from tierwise.operators import publishing as P
 from tierwise.plans.eval_queries import rounded
-from tierwise.plans.label_queries import examples, with_examples
+from tierwise.plans.label_queries import BUILT, examples, with_examples
 from tierwise.registry import query
 from tierwise.sources.views import oracle, table, view
 from tierwise.streaming import ledger as S
@@ -32,9 +32,11 @@ def judge_prompts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(J.judge_prompt(F.col("source"), F.col("text"), F.col("lang")), 256).alias("prompt_sha256"))
 
 
-@query("judge_independence", "select 'm' as name where false")
+@query("judge_independence", oracle("select distinct split_part(model, '/', 2) as name from v_runs where tier = 'frontier'"))
 def judge_independence(spark, sf_dir):
-    return J.judge_independence(view(spark, sf_dir, "v_verdicts"), view(spark, sf_dir, "v_runs"))
+    # one more judge, which is the frontier's model at another provider
+    judges = view(spark, sf_dir, "v_verdicts").select("judge_model").unionByName(spark.createDataFrame([("p/frontier",)], "judge_model string"))
+    return J.judge_independence(judges, view(spark, sf_dir, "v_runs"))
 
 
 @query("tier_models", with_examples("select tier, array_to_string(list_sort(list(distinct model)), ',') as models from v_runs where error is null and query_id in (select query_id from v_examples where split = 'test') group by tier"))
@@ -49,12 +51,12 @@ def _terms(spark):
 
 
 _OK = "(source in ({}))".format(", ".join(f"'src{i}'" for i in range(0, 20, 2) if i % 5))
-_PUBLIC = f"pub as (select sha256(d.text) as query_id, case when d.{_OK[1:-1]} then d.text end as prompt, d.source, e.split, e.tier, sha256(d.text) as text_sha256, d.{_OK[1:-1]} as text_included from v_examples e join documents d on d.doc_id = e.query_id)"
+_PUBLIC = f"pub as (select b.* replace (sha256(d.text) as query_id), case when d.{_OK[1:-1]} then d.text end as prompt, case when d.{_OK[1:-1]} and d.doc_id % 4 = 0 then d.lang end as conversation_summary, sha256(d.text) as text_sha256, d.{_OK[1:-1]} as text_included from ({BUILT}) b join documents d on d.doc_id = b.query_id)"
 
 
 def _public(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"))
-    rows = examples(spark, sf_dir).select("query_id", "source", "split", "tier").join(texts, "query_id").withColumn("query_id", F.sha2("prompt", 256))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("prompt"), F.expr("case when doc_id % 4 = 0 then lang end").alias("conversation_summary"))
+    rows = examples(spark, sf_dir).join(texts, "query_id").withColumn("query_id", F.sha2("prompt", 256))
     return P.public_frame(P.check_hashes(rows), _terms(spark))
 
 
@@ -64,7 +66,8 @@ def _public_sql(sql: str) -> str:
 
 @query("public_frame", _public_sql("select * from pub"))
 def public_frame(spark, sf_dir):
-    return _public(spark, sf_dir)
+    usd = {c: F.round(c, 9) for c in ("frontier_cost_usd", "label_cost_usd")}
+    return _public(spark, sf_dir).withColumns({"judged_tiers": F.array_join("judged_tiers", ","), **usd})
 
 
 @query("inclusion", _public_sql("select coalesce(source, 'all') as source, count(*) as rows, sum(text_included::int)::bigint as text_rows, sum((not text_included)::int)::bigint as withheld_rows from pub group by rollup (source)"))
@@ -97,12 +100,13 @@ def early_stopping(spark, sf_dir):
     return rounded(H.early_stopping(view(spark, sf_dir, "v_history"), 3), "best_loss")
 
 
-@query("lr_schedule", oracle("select step, round(case when step - 1 < 6 then step / 6.0e0 else greatest(0, (60 - (step - 1)) / 54.0e0) end, 8) as factor from v_history"))
+@query("lr_schedule", oracle("select step, round(case when step - 1 < n // 10 then step / (n // 10)::double else greatest(0, (n - (step - 1)) / (n - n // 10)::double) end, 8) as factor from v_history cross join (select count(*) as n from v_history)"))
 def lr_schedule(spark, sf_dir):
-    return view(spark, sf_dir, "v_history").select("step", F.round(H.learning_rate(F.col("step") - 1, 60, 0.1), 8).alias("factor"))
+    rows = view(spark, sf_dir, "v_history")
+    return rows.select("step", F.round(H.learning_rate(F.col("step") - 1, rows.count(), 0.1), 8).alias("factor"))
 
 
-@query("progress_marks", oracle("select rn as done, step from (select step, row_number() over (order by step) as rn, count(*) over () as n from v_history) where rn % 3 = 0 or rn = n"))
+@query("progress_marks", oracle("select rn as done, step from (select step, row_number() over (order by step) as rn, count(*) over () as n from v_history) where rn % greatest(1, round_even(n * 0.05, 0)::bigint) = 0 or rn = n"))
 def progress_marks(spark, sf_dir):
     rows = view(spark, sf_dir, "v_history")
     return H.progress_marks(rows, "step", rows.count()).select(F.col("done").cast("long").alias("done"), "step")

@@ -12,14 +12,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: In the order in which they may use each other.
 VIEWS = {
     "v_tiers": "select * from (values (0,'local_small',0.0e0,0.0e0),(1,'mid_tier',1e-6,4e-6),(2,'frontier',1e-5,5e-5)) as t(tier_rank,tier,p_in,p_out)",
-    "v_runs": """select query_id, source, prompt, tier_rank, tier, model, prompt_tokens, completion_tokens, error,
+    "v_runs": """select query_id, source, prompt, tier_rank, tier, model, prompt_tokens, completion_tokens, error, completion,
        mod(query_id*3+tier_rank,5)<>0 and error is null as cached,
        case when error is not null or mod(query_id*3+tier_rank,5)<>0 then 0.0e0
             else prompt_tokens*p_in + completion_tokens*p_out end as cost_usd
 from (select d.doc_id as query_id, d.source, d.text as prompt, t.tier_rank, t.tier, concat('m/',t.tier) as model, t.p_in, t.p_out,
              cast(floor(length(d.text)/4)+8 as bigint) as prompt_tokens,
              cast(50+mod(d.doc_id*(37+11*t.tier_rank)+t.tier_rank*13,400) as bigint) as completion_tokens,
-             case when mod(d.doc_id*7+t.tier_rank*3,23)=0 then 'TimeoutError: down' end as error
+             case mod(d.doc_id,9) when 0 then 'Sorry, I cannot run that code here.' when 1 then 'I am unable to browse the internet.' when 2 then 'As of my last knowledge update, yes.' else 'Yes.' end as completion,
+             case when mod(d.doc_id*7+t.tier_rank*3,23)=0 then concat(case mod(d.doc_id,11) when 0 then 'TimeoutError' when 1 then 'ConnectionError' when 2 then 'RateLimitError' when 3 then 'APIConnectionError' when 4 then 'Timeout'
+               when 5 then 'ServiceUnavailableError' when 6 then 'InternalServerError' when 7 then 'BadGatewayError' when 8 then 'AuthenticationError' when 9 then 'APIError' else 'BadRequestError' end, ': down') end as error
       from documents d cross join v_tiers t) x""",
     "v_verdicts": """select r.query_id, r.tier_rank, r.tier as candidate_tier, 'frontier' as reference_tier, 'o/judge' as judge_model,
        case when mod(r.query_id*13+r.tier_rank*29,10) < 3+r.tier_rank*2 then 'equivalent'
@@ -50,7 +52,7 @@ from (select vec_id, embedding, mod(label,3) as y from embeddings) x""",
   when 4 then 'not json'
   when 5 then '{{"verdict": "better", "reason": "x"}}'
   else '{{"verdict": "worse"}}' end as reply from documents""",
-    "v_history": "select doc_id+1 as step, 1e0/(doc_id+2) + mod(doc_id*37,11)*0.01e0 as loss from documents where doc_id<60",
+    "v_history": "select doc_id+1 as step, 1e0/(doc_id+2) + mod(doc_id*37,11)*0.01e0 as loss from documents",
 }
 _ELEMENT = {"spark": "cast(element_at(embedding,{i}) as double)", "duckdb": "cast(embedding[{i}] as double)"}
 
