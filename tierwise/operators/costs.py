@@ -10,7 +10,7 @@ from tierwise.tiers import FRONTIER
 
 ANSWER_TOKENS, VERDICT_TOKENS, LEAST_ROWS = 400, 60, 3
 #: Error classes worth another try.
-RETRYABLE = ["TimeoutError", "RateLimitError", "APIConnectionError", "InternalServerError", "ServiceUnavailableError", "APIError"]
+RETRYABLE = ["TimeoutError", "ConnectionError", "RateLimitError", "APIConnectionError", "Timeout", "ServiceUnavailableError", "InternalServerError", "BadGatewayError"]
 
 
 def run_counts(runs: DataFrame) -> DataFrame:
@@ -40,16 +40,17 @@ def answered_only(ledger: DataFrame, runs: DataFrame) -> DataFrame:
 def token_rates(ledger: DataFrame) -> DataFrame:
     """tier, prompt_rate, completion_rate: USD a token by least squares without intercept.
 
-    The determinant of the integer token sums is exact. A singular system or a negative rate falls back to
-    one blended rate; rates are not below 0, and 0 without tokens.
+    The system is singular if all rows have one share of prompt tokens; shares of counts below 2**26 are told apart
+    exactly. A singular system or a negative rate falls back to one blended rate; rates are not below 0, and 0 without tokens.
     """
     p, c, u = F.col("prompt_tokens"), F.col("completion_tokens"), F.col("usd")
     wide = lambda x: F.sum(x.cast("decimal(19,0)"))
     # usd is scaled so that products with token counts keep their precision
-    sums = ledger.groupBy("tier").agg(wide(p * p).alias("pp"), wide(p * c).alias("pc"), wide(c * c).alias("cc"), F.sum(p * u * 1e6).alias("pu"), F.sum(c * u * 1e6).alias("cu"), F.sum(p + c).alias("tokens"), F.sum(u * 1e6).alias("usd"))
+    share = F.try_divide(p, p + c)
+    sums = ledger.groupBy("tier").agg((F.min(share) < F.max(share)).alias("several"), wide(p * p).alias("pp"), wide(p * c).alias("pc"), wide(c * c).alias("cc"), F.sum(p * u * 1e6).alias("pu"), F.sum(c * u * 1e6).alias("cu"), F.sum(p + c).alias("tokens"), F.sum(u * 1e6).alias("usd"))
     d = lambda x: F.col(x).cast("double")
     det = d("pp") * d("cc") - d("pc") * d("pc")
-    exact = F.col("pp").cast("decimal(19,0)") * F.col("cc").cast("decimal(19,0)") > F.col("pc").cast("decimal(19,0)") * F.col("pc").cast("decimal(19,0)")
+    exact = F.coalesce(F.col("several"), F.lit(False))
     solved = sums.withColumn("a", F.when(exact, (d("pu") * d("cc") - d("cu") * d("pc")) / F.nullif(det, F.lit(0.0)))).withColumn("b", F.when(exact, (d("cu") * d("pp") - d("pu") * d("pc")) / F.nullif(det, F.lit(0.0))))
     good = F.coalesce((F.col("a") >= -1e-6) & (F.col("b") >= -1e-6), F.lit(False))
     blended = F.coalesce(F.try_divide(d("usd"), d("tokens")), F.lit(0.0))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierwise.functions.exprs import normalize, query_id, seed_tokens, strip
+from tierwise.operators.ranking import RANGES, ranked
 
 MAX_CHARS = 1500
 
@@ -36,14 +37,19 @@ def sources_of(registry: Mapping[str, Callable[[], DataFrame]], names: Sequence[
 def interleave(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """Rows of all sources (pos, text, domain) with source, ordinal and turn.
 
-    turn counts a source's rows from 1 in the order of pos, before any filter. Each source is one ordered
-    sequence by nature, so its positions are one sort; the range sort of the union is what scales.
+    turn counts a source's rows from 1 in the order of pos, a number, before any filter. A source is ranked in ranges
+    between approximate quantiles (a bounded array for each source). Sources are read three times.
     """
     parts = [rows.select(F.lit(name).alias("source"), F.lit(i).alias("ordinal"), F.col("pos"), F.col("text"), F.col("domain")) for i, (name, rows) in enumerate(sources)]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.withColumn("turn", F.row_number().over(Window.partitionBy("source", "ordinal").orderBy("pos")))
+    # a row of bounded size for each source named in the call
+    cuts = every.groupBy(F.col("ordinal").alias("__ordinal")).agg(F.approx_percentile("pos", [i / RANGES for i in range(1, RANGES)], RANGES * 20).alias("__cuts"))
+    cut = every.join(F.broadcast(cuts), F.col("ordinal") == F.col("__ordinal")).drop("__ordinal")
+    place = F.size(F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: c.cast("double") < F.col("pos").cast("double")))
+    found = ranked(cut.withColumn("__place", place).drop("__cuts"), ["source", "ordinal"], ["pos"], F.col("__place"))
+    return found.withColumn("turn", (F.col("__rank") + 1).cast("int")).drop("__rank", "__size", "__place")
 
 
 def seed_prompts(interleaved: DataFrame, limit: int, max_chars: int = MAX_CHARS) -> DataFrame:
