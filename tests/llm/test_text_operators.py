@@ -398,6 +398,31 @@ def test_quality(spark):
     assert quality_rules.judged(quality_rules.measured(frame(spark, []))).count() == 0
 
 
+def test_quality_thresholds(spark):
+    """One text is kept in one source and rejected in another; junk in a third does not switch the rule off; the merged sketch serves a small source."""
+    rnd = random.Random(1)
+    made = lambda n, low, high: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(low, high))) for _ in range(n))
+    texts = [("short", made(80, 2, 6)) for _ in range(150)] + [("long", made(80, 8, 14)) for _ in range(150)]
+    texts += [("junk", made(80, 40, 60) if i % 3 else made(80, 3, 7)) for i in range(30)]
+    probe, rows = made(80, 9, 12), []
+    for source in ("short", "long", "small"):
+        rows.append((source, probe))
+    rows += texts
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    measured = quality_rules.measured(docs)
+    got = {r.doc_id: r for r in quality_rules.judged(measured, least=100).collect()}
+    assert [got[i].kept for i in range(3)] == [False, True, True]
+    # junk alone: of its own sketch the rule would be off, the guard is the threshold of everything
+    own = {r.doc_id: r for r in quality_rules.judged(measured, least=20).collect()}
+    assert not any(r.kept for i, r in own.items() if i >= 303 and len(rows[i][1].split()[0]) >= 40)
+    # brute force of the thresholds
+    cuts = {(r.level, r.source): r.cut_length for r in quality_rules.thresholds(quality_rules.sketches(measured)).collect()}
+    for source in ("short", "long"):
+        bins = sorted((v if v < 256 else v >> (v.bit_length() - 8) << (v.bit_length() - 8)) for v in (100 * r.word_chars // r.n_words for r in got.values() if r.source == source))
+        at = lambda p: bins[-(-len(bins) * p // 100) - 1]  # noqa: E731, B023
+        assert cuts[2, source] == at(75) + 10 * max(at(75) - at(50), 20)
+
+
 def test_urls(spark):
     urls = [None, "no scheme", "http://A.Example.COM/en/1?x#y", "https://www.example.com/en/2", "http://b.net/es/3", "http://net/fr/", "http://b.net/de/3", "http://x.org", "http://notcom/", "ftp://h.com#f", "http://exAmple.com/en", "a://b://c/d"]
     rows = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")

@@ -2,13 +2,15 @@
 
 Each text gets counts (words, symbols, repeated lines, words in repeated three-word windows) and four
 rates in whole numbers. The rates of each language and source are gathered in quantile sketches that
-merge by addition: counts of log-linear integer bins (a value below 64 is its own bin, larger ones keep
-their six leading bits, so a quantile is exact to about 3 %). Thresholds come from the sketch of a
+merge by addition: counts of log-linear integer bins (a value below 256 is its own bin, larger ones keep
+their eight leading bits, so a quantile is exact to 0.8 %). Thresholds come from the sketch of a
 document's own language and source, or, where that has too few texts, from the merged sketches of the
 language or of everything; a join brings them back to the documents.
 
-A rate is rejected beyond ``q75 + SPREAD * (q75 - q50)`` of its group, but never below the rate's floor,
-so clean texts of a uniform source stay.
+A rate is rejected beyond ``q75 + SPREAD * max(q75 - q50, the rate's least spread)`` of its group: quantiles
+place every threshold, up or down. The least spread is there for groups in which most texts have the same value
+(a source without any symbols). A threshold is at most GUARD times that of everything, so a source that is
+mostly junk cannot switch a rule off.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources
 are groups of their own; repeated rows and rows without an id are judged like any other; an empty table
@@ -23,9 +25,10 @@ from pyspark.sql import functions as F
 from tierwise.llm.common import stored, table
 
 SYMBOLS = "#*$%&|<>"
-#: Rates and their floors: symbols, repeated lines and repeated words per 1000, hundredths of a character a word.
-FLOORS = {"symbols": 200, "lines": 400, "repeats": 300, "length": 1600}
-SPREAD, LEAST = 4, 100
+#: Rates and their least spreads: symbols, repeated lines and repeated words per 1000, hundredths of a character a word.
+SPREADS = {"symbols": 20, "lines": 40, "repeats": 30, "length": 20}
+#: Spreads beyond the upper quartile, texts that a group of its own needs, and the bound by the threshold of everything.
+SPREAD, LEAST, GUARD = 10, 100, 2
 
 
 def let(value: Column, use) -> Column:
@@ -76,8 +79,8 @@ def rates() -> dict[str, Column]:
 
 
 def sketch_bin(value: str) -> Column:
-    """A value below 64 itself, else its six leading bits followed by zeros."""
-    return F.expr(f"case when {value} < 64 then {value} else shiftleft(shiftright({value}, length(bin({value})) - 6), length(bin({value})) - 6) end")
+    """A value below 256 itself, else its eight leading bits followed by zeros."""
+    return F.expr(f"case when {value} < 256 then {value} else shiftleft(shiftright({value}, length(bin({value})) - 8), length(bin({value})) - 8) end")
 
 
 def sketches(rows: DataFrame) -> DataFrame:
@@ -90,33 +93,35 @@ def sketches(rows: DataFrame) -> DataFrame:
     return wide.groupBy("level", "lang", "source", "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def thresholds(merged: DataFrame, floors: dict[str, int] = FLOORS, spread: int = SPREAD) -> DataFrame:
+def thresholds(merged: DataFrame, spreads: dict[str, int] = SPREADS, spread: int = SPREAD) -> DataFrame:
     """level, lang, source, texts and one column cut_<rate> for each rate."""
     group = ["level", "lang", "source", "rate"]
     own = Window.partitionBy(*group)
     ranked = merged.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("texts", F.sum("n").over(own))
     at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("texts") * p, F.col("bin")))
     quantiles = ranked.groupBy(*group).agg(F.max("texts").alias("texts"), at(50).alias("q50"), at(75).alias("q75"))
-    floor = F.coalesce(*(F.when(F.col("rate") == k, F.lit(v)) for k, v in floors.items()))
-    cut = quantiles.withColumn("cut", F.greatest(floor.cast("long"), F.col("q75") + spread * (F.col("q75") - F.col("q50"))))
-    return cut.groupBy("level", "lang", "source").agg(F.max("texts").alias("texts"), *(F.max(F.when(F.col("rate") == k, F.col("cut"))).alias(f"cut_{k}") for k in floors))
+    narrow = F.coalesce(*(F.when(F.col("rate") == k, F.lit(v)) for k, v in spreads.items())).cast("long")
+    cut = quantiles.withColumn("cut", F.col("q75") + spread * F.greatest(F.col("q75") - F.col("q50"), narrow))
+    return cut.groupBy("level", "lang", "source").agg(F.max("texts").alias("texts"), *(F.max(F.when(F.col("rate") == k, F.col("cut"))).alias(f"cut_{k}") for k in spreads))
 
 
-def judged(rows: DataFrame, floors: dict[str, int] = FLOORS, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
+def judged(rows: DataFrame, spreads: dict[str, int] = SPREADS, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
     """measured rows with base_failed and kept. rows is read twice."""
-    cuts = thresholds(sketches(rows), floors, spread)
-    names = [f"cut_{k}" for k in floors]
+    cuts = thresholds(sketches(rows), spreads, spread)
+    names = [f"cut_{k}" for k in spreads]
     pick = lambda level, keys: cuts.where(F.col("level") == level).select(*(F.col(k).alias(f"{k}{level}") for k in keys), *(F.col(x).alias(f"{x}{level}") for x in ["texts", *names]))
     both, one, every = pick(2, ["lang", "source"]), pick(1, ["lang"]), pick(0, [])
     # the thresholds of a pair, its language and everything side by side, then one join with the documents
     chosen = both.join(one, both.lang2.eqNullSafe(one.lang1)).join(F.broadcast(every))
-    use = [F.when(F.col("texts2") >= least, F.col(f"{x}2")).when(F.col("texts1") >= least, F.col(f"{x}1")).otherwise(F.col(f"{x}0")).alias(x) for x in names]
+    own = lambda x: F.when(F.col("texts2") >= least, F.col(f"{x}2")).when(F.col("texts1") >= least, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
+    use = [F.least(own(x), GUARD * F.col(f"{x}0")).alias(x) for x in names]
     chosen = chosen.select("lang2", "source2", *use)
     found = rows.join(chosen, rows.lang.eqNullSafe(chosen.lang2) & rows.source.eqNullSafe(chosen.source2), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)
     for k, value in rates().items():
-        within = within & (value <= F.coalesce(F.col(f"cut_{k}"), F.lit(floors[k])))
+        # a text without a group has no words and fails the base rule
+        within = within & F.coalesce(value <= F.col(f"cut_{k}"), F.lit(True))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & within)
 
 
@@ -127,7 +132,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "[^\\x20\\x09-\\x0D]+"
-_RATES = "(values ('symbols', 200), ('lines', 400), ('repeats', 300), ('length', 1600)) as f(rate, floor)"
+_RATES = "(values ('symbols', 20), ('lines', 40), ('repeats', 30), ('length', 20)) as f(rate, narrow)"
 
 ORACLE = rf"""
 with w as (
@@ -153,7 +158,7 @@ with w as (
 ), u as (
   unpivot (select lang, source, symbols, lines, repeats, length from v where n_words > 0) on symbols, lines, repeats, length into name rate value x
 ), b as (
-  select lang, source, rate, case when x < 64 then x else (x >> (length(bin(x)) - 6)) << (length(bin(x)) - 6) end as bin, count(*) as n from u group by all
+  select lang, source, rate, case when x < 256 then x else (x >> (length(bin(x)) - 8)) << (length(bin(x)) - 8) end as bin, count(*) as n from u group by all
 ), s as (
   select 2 as level, lang, source, rate, bin, n from b
   union all select 1, lang, null, rate, bin, sum(n) from b group by all
@@ -163,15 +168,15 @@ with w as (
   from (select *, sum(n) over (partition by level, lang, source, rate order by bin) as upto, sum(n) over (partition by level, lang, source, rate) as texts from s)
   group by level, lang, source, rate
 ), c as (
-  select level, lang, source, k.rate, texts, greatest(floor, q75 + 4 * (q75 - q50)) as cut from k join {_RATES} on k.rate = f.rate
+  select level, lang, source, k.rate, texts, q75 + 10 * greatest(q75 - q50, narrow) as cut from k join {_RATES} on k.rate = f.rate
 ), p as (
-  select a.lang, a.source, a.rate, case when a.texts >= 100 then a.cut when l.texts >= 100 then l.cut else e.cut end as cut
+  select a.lang, a.source, a.rate, least(case when a.texts >= 100 then a.cut when l.texts >= 100 then l.cut else e.cut end, 2 * e.cut) as cut
   from c a join c l on a.level = 2 and l.level = 1 and a.rate = l.rate and a.lang is not distinct from l.lang join c e on e.level = 0 and e.rate = a.rate
 ), o as (
   select lang, source, max(cut) filter (rate = 'symbols') as c1, max(cut) filter (rate = 'lines') as c2, max(cut) filter (rate = 'repeats') as c3, max(cut) filter (rate = 'length') as c4
   from p group by lang, source
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed,
-       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and symbols <= coalesce(c1, 200) and lines <= coalesce(c2, 400) and repeats <= coalesce(c3, 300) and length <= coalesce(c4, 1600) as kept
+       not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(symbols <= c1 and lines <= c2 and repeats <= c3 and length <= c4, true) as kept
 from v left join o on v.lang is not distinct from o.lang and v.source is not distinct from o.source
 """
