@@ -79,6 +79,18 @@ def test_substring_dedup_of_nothing(spark):
     assert substring_dedup.remove_spans(substring_dedup.duplicate_spans(frame(spark, []))).count() == 0
 
 
+def test_substring_factors(spark):
+    """A copied passage is one factor of both texts, with one reference; two passages that are neighbours only here are two factors."""
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    one, two = words(80), words(60)
+    texts = [words(50) + one + words(50), words(30) + two + words(20), words(9) + one + two + words(40)]
+    found = substring_dedup.remove_spans(substring_dedup.duplicate_spans(frame(spark, [" ".join(x) for x in texts] + [None] * 2 + ["a b"] * 3)))
+    got = {r.doc_id: [(x["first"], x["last"], x["reference"]) for x in r.factors] for r in found.collect()}
+    assert [[x[:2] for x in got[i]] for i in range(5)] == [[(50, 129)], [(30, 89)], [(9, 88), (89, 148)], [], []]
+    assert [x[2] for x in got[2]] == [got[0][0][2], got[1][0][2]]
+
+
 def brute_groups(texts, size, num, den):
     sets = []
     for t in texts:

@@ -1,18 +1,22 @@
-"""Substring dedup by hashes of content-defined blocks and windows, in place of greedy relative Lempel-Ziv parsing.
-
-Texts are cut into overlapping blocks whose borders depend on content alone: each window
-of ``window`` words is led by its smallest ``SEED``-word seed, and a block is what the
-successive windows led by one seed cover. All blocks of the corpus are the reference
-index, keyed by seed and by block hash; nothing is sampled.
-
-* A block found again whole, anywhere, is a copied factor: all its windows are duplicates.
-  Neighbouring copied blocks chain into longer factors.
-* Where a seed occurs in different blocks, a factor begins or ends inside them (an edit, the
-  border of a copied passage, the end of a text). Only there are windows compared one by one
-  by hash: one emission for each distinct block, not for each copy.
-
-So rows shuffled are about one for twelve words, and groups of copies of any size meet only in
-counts with partial aggregation and in joins whose other side has one row for each key.
+"""Substring dedup by relative Lempel-Ziv parsing against blocks of the whole corpus.
+
+Texts are cut into overlapping reference blocks whose borders depend on content alone: each window of
+``window`` words is led by its smallest ``SEED``-word seed, and a block is what the successive windows led by one
+seed cover. All blocks of the corpus are the reference index, keyed by seed and block; nothing is sampled. The
+first place of a block (the least, in a fixed order of texts) is its reference.
+
+* Each text is factored greedily, from left to right: a factor begins with a block that the index has at another
+  place too, and goes on as long as the next block's reference is where the factor's reference goes on. So a
+  factor is the longest run of blocks copied from one place, and at least a window long.
+* A factor begins or ends inside a block where a seed occurs in different blocks (an edit, the border of a copied
+  passage, the end of a text). There the windows are checked one by one: those that occur again become factors of
+  one window. One emission for each distinct block, not for each copy.
+
+A block found again whole has all its windows found again, and a window found again in differing blocks is checked,
+so the spans are exactly the windows that occur twice. Blocks and windows are compared by 128 bits: their own
+hash and that of their seed. The place where a block occurs again is known by its hash, so no text meets another text; rows
+shuffled are about one for twelve words, and groups of copies of any size meet only in counts with partial
+aggregation and in joins whose other side is a table with one row for each key, which Spark can split.
 
 Defined results: a null or empty text has no words; texts shorter than the window lose nothing;
 repeated rows are copies of each other (every row is judged and returned, also with a null id);
@@ -26,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwise.llm.common import map_arrow, schema_of, stored, table, text_rows, text_tag
+from tierwise.llm.common import discard, map_arrow, schema_of, stored, table, text_rows, text_tag
 from tierwise.llm.wordhash import Windows, Words, chunks, mix, sliding_min
 
 WINDOW = 35
@@ -76,17 +80,17 @@ def reference_blocks(rows: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _spans(batch: pa.RecordBatch, row: int) -> np.ndarray:
-    """(lo, n, flag) rows of a joined list column; none for a null."""
+    """(lo, n, flag, h, place) rows of a joined list column; none for a null."""
     found = batch.column("spans")[row]
     if not found.is_valid or not len(found):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 5), np.int64)
     flat = found.values
-    return np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1)
+    return np.stack([flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)], axis=1)
 
 
 def _fine_windows(rows: DataFrame, window: int) -> DataFrame:
     """Windows of the blocks that stand for all equal ones where a seed has several blocks."""
-    schema = schema_of(rows, ["doc_id", "tag"], "lo int, known boolean, w bigint")
+    schema = schema_of(rows, ["doc_id", "tag"], "lo int, known boolean, h bigint, w bigint")
     names = schema.names
 
     def run(batch: pa.RecordBatch):
@@ -101,47 +105,68 @@ def _fine_windows(rows: DataFrame, window: int) -> DataFrame:
                 if len(spans):
                     at = np.repeat(spans[:, 0], spans[:, 1]) + np.arange(spans[:, 1].sum()) - np.repeat(np.cumsum(spans[:, 1]) - spans[:, 1], spans[:, 1])
                     base = words.first[row - first]
-                    parts.append((np.full(len(at), row), at, np.repeat(spans[:, 2] & FULL > 0, spans[:, 1]), win.at(base + at, base + at + window)))
+                    parts.append((np.full(len(at), row), at, np.repeat(spans[:, 2] & FULL > 0, spans[:, 1]), np.repeat(spans[:, 3], spans[:, 1]), win.at(base + at, base + at + window)))
             if parts:
-                of, lo, known, w = (np.concatenate(x) for x in zip(*parts, strict=True))
+                of, lo, known, h, w = (np.concatenate(x) for x in zip(*parts, strict=True))
                 of = pa.array(of)
-                yield pa.RecordBatch.from_arrays([ids.take(of), tags.take(of), pa.array(lo.astype(np.int32)), pa.array(known), pa.array(w.view(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([ids.take(of), tags.take(of), pa.array(lo.astype(np.int32)), pa.array(known), pa.array(h), pa.array(w.view(np.int64))], names=names)
 
     return map_arrow(rows, run, schema)
 
 
 def _with_spans(rows: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """Null-safe on the id: rows without one keep their spans too."""
-    lists = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("lo", "n", "flag")).alias("spans"))
+    """Null-safe on the id: rows without one keep their spans too. Repeated rows have one set of spans."""
+    lists = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("lo", "n", "flag", "h", "place")).alias("spans"))
     lists = lists.withColumnsRenamed({"doc_id": "span_id", "tag": "span_tag"})
     return rows.join(lists, rows.doc_id.eqNullSafe(lists.span_id) & (rows.tag == lists.span_tag), how).drop("span_id", "span_tag")
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed: int = SEED) -> DataFrame:
-    """The duplicate factors of each text with their text: doc_id, tag, text, spans (array of first window, windows, flag).
+    """The copied blocks and windows of each text with their text: doc_id, tag, text, spans (array of first window, windows, flag, seed, reference).
 
     Words covered are lo .. lo + n + window - 2 for each span whose flag has the bit FULL.
     """
+    spark, scratch = docs.sparkSession, []
     rows = text_rows(docs, id_col, text_col).withColumn("tag", text_tag())
-    index = reference_blocks(rows, window, seed)
-    again = index.groupBy("h").agg(F.count("*").alias("places"), (F.min("e") != F.max("e")).alias("mixed")).where("places > 1").select("h", "mixed")
-    found = stored(index.join(again, "h").select("doc_id", "tag", "lo", "n", "h", "e", "mixed"))
-    mixed = found.where("mixed")
-    kinds = mixed.groupBy("h", "e").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "tag", "lo")).alias("first"))
-    judged = mixed.join(kinds, ["h", "e"]).select(
-        "doc_id", "tag", "lo", "n",
-        (F.when(F.col("copies") > 1, FULL).otherwise(0) + F.when(F.col("first").eqNullSafe(F.struct("doc_id", "tag", "lo")), FINE).otherwise(0)).alias("flag"),
-    )
-    coarse = found.where("not mixed").select("doc_id", "tag", "lo", "n", F.lit(FULL).alias("flag")).unionByName(judged.where("flag > 0"))
-    windows = stored(_fine_windows(_with_spans(rows, coarse.where(F.col("flag") >= FINE), "inner"), window))
-    twice = windows.groupBy("w").agg(F.count("*").alias("places")).where("places > 1").select("w")
-    fine = windows.where("not known").join(twice, "w").select("doc_id", "tag", "lo", F.lit(1).alias("n"), F.lit(FULL).alias("flag"))
-    return _with_spans(rows, coarse.where(F.col("flag").bitwiseAND(FULL) > 0).unionByName(fine), "left")
+    index = stored(reference_blocks(rows, window, seed), scratch)
+    # a place is a number of the text and the position in it; the bits left out keep sums in range
+    place = F.xxhash64("doc_id", "tag").bitwiseAND(F.lit(2**62 - 1)) + F.col("lo")
+    again = index.groupBy("h").agg(F.count("*").alias("places"), (F.min("e") != F.max("e")).alias("mixed"), F.min(place).alias("place")).where("places > 1").select("h", "mixed", "place")
+    found = stored(index.join(stored(again, scratch), "h"), scratch)
+    mixed = found.where("mixed").drop("mixed", "place").withColumn("own", place)
+    kinds = stored(mixed.groupBy("h", "e").agg(F.count("*").alias("copies"), F.min("own").alias("place")), scratch)
+    flag = F.when(F.col("copies") > 1, FULL).otherwise(0) + F.when(F.col("own") == F.col("place"), FINE).otherwise(0)
+    span = ["doc_id", "tag", "lo", "n", "flag", "h", "place"]
+    judged = mixed.join(kinds, ["h", "e"]).withColumn("flag", flag).where("flag > 0").select(*span)
+    coarse = stored(found.where("not mixed").withColumn("flag", F.lit(FULL)).select(*span).unionByName(judged), scratch)
+    windows = stored(_fine_windows(_with_spans(rows, coarse.where(F.col("flag") >= FINE), "inner"), window), scratch)
+    twice = stored(windows.groupBy("h", "w").agg(F.count("*").alias("places"), F.min(place).alias("place")).where("places > 1").select("h", "w", "place"), scratch)
+    fine = windows.where("not known").join(twice, ["h", "w"]).select("doc_id", "tag", "lo", F.lit(1).alias("n"), F.lit(FULL).alias("flag"), "h", "place")
+    spans = stored(coarse.where(F.col("flag").bitwiseAND(FULL) > 0).unionByName(fine))
+    discard(spark, scratch)
+    return _with_spans(rows, spans, "left")
+
+
+def factors(spans: np.ndarray, window: int) -> list[dict[str, int]]:
+    """The greedy factors of one text: first and last word, and the place of the reference. spans: rows of _spans().
+
+    A factor takes the next copied block as long as that goes on where the factor ends, in the text and in its reference.
+    """
+    out: list[dict[str, int]] = []
+    end = goes_on = -1
+    for lo, n, _, _, place in spans[np.lexsort((spans[:, 1], spans[:, 0]))].tolist():
+        if out and lo == end and place == goes_on:
+            out[-1]["last"] += n
+        else:
+            out.append({"first": lo, "last": lo + n + window - 2, "reference": place})
+        end, goes_on = lo + n, place + n
+    return out
 
 
 def remove_spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the kept words joined by one space), spans (merged word ranges) of what duplicate_spans() returns."""
-    schema = schema_of(found, ["doc_id"], "n_words bigint, n_removed bigint, kept string, removed array<struct<first:int,last:int>>")
+    """doc_id, n_words, n_removed, kept (the kept words joined by one space), factors (of the parse), of what duplicate_spans() returns."""
+    schema_type = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "reference")]))
+    schema = schema_of(found, ["doc_id"], "n_words bigint, n_removed bigint, kept string, factors array<struct<first:bigint,last:bigint,reference:bigint>>")
 
     def run(batch: pa.RecordBatch):
         for first, end, data, offs in chunks(batch.column("text")):
@@ -150,10 +175,11 @@ def remove_spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
             n, gone, kept, ranges = [], [], [], []
             for row in range(first, end):
                 a, b = int(words.first[row - first]), int(words.first[row - first + 1])
-                spans = _spans(batch, row)
+                parsed = factors(_spans(batch, row), window)
                 depth = np.zeros(b - a + 1, np.int32)
-                np.add.at(depth, spans[:, 0], 1)
-                np.add.at(depth, spans[:, 0] + spans[:, 1] + window - 1, -1)
+                for x in parsed:
+                    depth[x["first"]] += 1
+                    depth[x["last"] + 1] -= 1
                 out = np.cumsum(depth[:-1]) > 0
                 keep = np.flatnonzero(~out) + a
                 n.append(b - a)
@@ -166,10 +192,9 @@ def remove_spans(found: DataFrame, window: int = WINDOW) -> DataFrame:
                     own = text.split()
                     kept.append(b" ".join([own[i] for i in (keep - a).tolist()]).decode())
                     assert not len(keep) or own[-1] == text[words.starts[b - 1] - base : words.ends[b - 1] - base]
-                turn = np.flatnonzero(np.diff(np.concatenate(([0], out.astype(np.int8), [0]))))
-                ranges.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                ranges.append(parsed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, end - first), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(ranges, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))],
+                [batch.column("doc_id").slice(first, end - first), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(ranges, schema_type)],
                 names=schema.names,
             )
 
