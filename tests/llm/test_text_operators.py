@@ -396,6 +396,15 @@ def test_licenses(spark):
     assert license_scan.scan(frame(spark, ["mit license"] * 2, [None, None])).count() == 2
 
 
+def test_license_spans(spark):
+    """Grams of a template scattered over a text of many times its length are no span; the notice inside a very long text is, once for each repeated row."""
+    notice = dict(license_scan.TEMPLATES)["bsd"].split()
+    scattered = " ".join(" ".join(notice[i : i + 3]) + " x" for i in range(len(notice) - 2))
+    long = " ".join(f"f{i}" for i in range(100000)) + " " + " ".join(notice[:9] + ["q"] + notice[9:])
+    got = license_scan.scan(frame(spark, [scattered, long, long], [1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.labels, r.n_base) for r in got) == [(1, "", 0), (2, "bsd", 0), (2, "bsd", 0)]
+
+
 def test_quality(spark):
     clean = "\n".join(" ".join(f"word{i * 12 + j}" for j in range(12)) for i in range(10))
     texts = [None, "", "short", clean, " ".join("spam ham egg".split() * 60), " ".join(f"w{i}###" for i in range(90)), "\n".join(["one line of words here again"] * 12 + [f"v{i} u{i}" for i in range(40)])]

@@ -4,7 +4,9 @@ All rolling three-word hashes of all texts are joined with the positions of the
 templates (a constant table of a few hundred rows, hence broadcast). A hit votes for its offset diagonal
 (text position less template position); votes are summed for each text, template and diagonal,
 neighbouring diagonals (words put in or left out) are merged into spans, and a span is verified when
-distinct template positions cover enough of the template within a span of about the template's length.
+distinct template positions cover enough of the template and its diagonals are no further apart than the
+template is long, so the span is at most twice as long. Grams are compared by 64-bit hashes with a few hundred
+constant ones: of 1e12 grams a wrong hit has a probability of about 1e-5.
 
 Phrases (the base rule) are counted besides, at every place where their words stand consecutively; labels of
 verified spans come on top, and the score is 1 with a phrase, else the best coverage of a template.
@@ -106,9 +108,9 @@ def spans(hits: DataFrame, near: int = NEAR, coverage: float = COVERAGE) -> Data
     along = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > near).cast("int"), F.lit(1))
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(along)).groupBy(*key, "span")
-    found = merged.agg(F.min("diagonal").alias("first"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
+    found = merged.agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
     share = F.size("seen") / F.col("grams")
-    return found.withColumn("coverage", share).where(F.col("coverage") >= coverage).select("doc_id", "tag", "label", "template", "first", "coverage")
+    return found.withColumn("coverage", share).where((F.col("coverage") >= coverage) & (F.col("last") - F.col("first") <= F.col("grams"))).select("doc_id", "tag", "label", "template", "first", "coverage")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +160,7 @@ with w as (
   select *, sum(apart) over (partition by doc_id, template order by diagonal range unbounded preceding) as span
   from (select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= 4 then 0 else 1 end as apart from h)
 ), s as (
-  select doc_id, label, count(distinct pos) / max(grams) as coverage from d group by doc_id, template, label, span having count(distinct pos) / max(grams) >= 0.6
+  select doc_id, label, count(distinct pos) / max(grams) as coverage from d group by doc_id, template, label, span having count(distinct pos) / max(grams) >= 0.6 and max(diagonal) - min(diagonal) <= max(grams)
 ), ss as (
   select doc_id, list(distinct label) as ls, max(coverage) as coverage from s group by doc_id
 )
