@@ -68,11 +68,11 @@ def text_tag(text: str = "text") -> Column:
     return (F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")) - 2**31).cast("int")
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: StructType | str) -> DataFrame:
-    """mapInArrow with a function of one batch; empty batches are passed over, batches of the session get BATCH_ROWS rows at most."""
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: StructType | str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow with a function of one batch; empty batches are passed over, batches of the session get so many rows at most from now on."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(BATCH)) <= BATCH_ROWS:
-        conf.set(BATCH, str(BATCH_ROWS))
+    if not 0 < int(conf.get(BATCH)) <= rows:
+        conf.set(BATCH, str(rows))
 
     def run(batches):
         for batch in batches:

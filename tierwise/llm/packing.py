@@ -47,6 +47,16 @@ PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿªµº]+|[0-9²³¹¼-¾
 PLAIN = r"[\t-\r\x20-\x7e\xa1-\xac\xae-\xff]*"
 
 
+def byte_letters() -> list[str]:
+    """The letter of each byte in a byte-level vocabulary: itself if it is printable, else the next one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)]
+
+
+LETTERS = byte_letters()
+
+
 class WordIds(dict):
     """Word -> its ids as little-endian unsigned 32-bit bytes, from the tokenizer; a dict that asks for what it misses."""
 
@@ -55,12 +65,15 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words are normalised and cut here, so the vocabulary's model alone is asked; it spells bytes as letters
+        self.model = self.tokenizer.model
         self.plain = re.compile(PLAIN).fullmatch
         self.words = re.compile(PLAIN_PATTERN).findall
         self.marks = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.model.tokenize(word if word.isascii() else "".join(map(LETTERS.__getitem__, word.encode())))
+        ids = np.array([x.id for x in found], "<u4").tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE:
                 self.clear()
@@ -100,7 +113,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 crc.append(zlib.crc32(part))
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=schema.names)
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(rows, run, schema, 10_000)
 
 
 # --- the plan, over runs of equal lengths ------------------------------------------------------------
