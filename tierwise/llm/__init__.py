@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierwise.llm import decontamination, language_id, license_scan, near_dedup, packing, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
+from tierwise.llm import centroid_clustering, decontamination, embedding_dedup, language_id, license_scan, near_dedup, packing, prefix_trie, quality_rules, secret_scan, substring_dedup, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": secret_scan.op4_secret_scan,
         "op5_decontamination": decontamination.op5_decontamination,
         "op2_token_counts": token_counts.op2_token_counts,
+        "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
+        "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+        "op13_centroid_clustering": centroid_clustering.op13_centroid_clustering,
     }
 
 
@@ -28,4 +31,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_license_scan": license_scan.ORACLE,
         "op8_quality_rules": quality_rules.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
+        "op13_centroid_clustering": centroid_clustering.ORACLE,
     }

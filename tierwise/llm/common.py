@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of an Arrow batch: batches of long texts stay small in the JVM and in its workers. map_arrow() lowers the session's setting to it.
 BATCH_ROWS, BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+#: Keys with more than a HEAVY-th of all rows behind them are at most HEAVY.
+HEAVY = 4096
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,3 +94,11 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 def schema_of(df: DataFrame, names: list[str], ddl: str) -> StructType:
     """The named columns of df, then those of a DDL string."""
     return StructType([*(df.schema[x] for x in names), *StructType.fromDDL(ddl).fields])
+
+
+def looked_up(probes: DataFrame, values: DataFrame, heavy: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """probes with the value of their key, dropped where there is none: heavy ones, at most HEAVY rows, broadcast, the rest by shuffle."""
+    keys = list(keys)
+    tried = probes.join(F.broadcast(heavy.select(*keys, F.col(value).alias("__heavy"))), keys, "left")
+    rest = tried.where("__heavy is null").drop("__heavy").join(values.select(*keys, value), keys)
+    return tried.where("__heavy is not null").withColumnRenamed("__heavy", value).select(*rest.columns).unionByName(rest)
