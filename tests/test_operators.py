@@ -337,7 +337,7 @@ def test_files(spark, tmp_path):
     new = spark.createDataFrame([(1, "a", 1)], "k int, v string, seq int")
     io.write_upsert(new, f"{tmp_path}/t", ["k"])
     io.write_upsert(new.withColumn("v", F.lit("b")).withColumn("seq", F.lit(0)), f"{tmp_path}/t", ["k"])
-    assert [r.v for r in io.read_upserted(spark, f"{tmp_path}/t").collect()] == ["b"]
+    assert [r.v for r in io.read_upserted(spark, f"{tmp_path}/t", new.schema).collect()] == ["b"]
     rows = spark.createDataFrame([(1, "train"), (2, "test")], "query_id int, split string")
     io.write_dataset(rows, f"{tmp_path}/d")
     assert io.read_split(spark, f"{tmp_path}/d", "test").first().query_id == 2

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierwise.functions.exprs import cost_tokens, error_class, round_even
+from tierwise.functions.exprs import cache_key, cost_tokens, error_class, round_even
+from tierwise.operators.joins import lookup
+from tierwise.operators.judging import judge_prompt
 from tierwise.tiers import FRONTIER
 
 ANSWER_TOKENS, VERDICT_TOKENS, LEAST_ROWS = 400, 60, 3
-#: Error classes worth another try.
+#: Fixed values that must equal the reference's: names of error classes worth another try.
 RETRYABLE = ["TimeoutError", "ConnectionError", "RateLimitError", "APIConnectionError", "Timeout", "ServiceUnavailableError", "InternalServerError", "BadGatewayError"]
 
 
@@ -72,10 +74,14 @@ def uncached(calls: DataFrame, cache: DataFrame, cap: int, keys: list[str]) -> D
 def estimate(calls: DataFrame, cache: DataFrame, ledger: DataFrame, prices: DataFrame, cap: int) -> DataFrame:
     """One row for each tier: calls, cached, prompt and completion tokens, ceiling, usd, usd_max, hosted.
 
-    calls: query_id, tier_rank, tier, model, prompt; prices: tier_rank, p_in, p_out, local.
+    calls: query_id, tier_rank, tier, model, prompt; prices: tier_rank, p_in, p_out, local. A cache with cache_key is
+    content-addressed and met by prompt and model, any other by query and tier.
     """
-    keys = ["query_id", "tier_rank"]
-    marked = calls.join(cut_off(cache, cap).where("not cut_off").select(*keys, F.lit(True).alias("hit")), keys, "left")
+    by_key = "cache_key" in cache.columns
+    keys = ["cache_key"] if by_key else ["query_id", "tier_rank"]
+    calls = calls.withColumn("cache_key", cache_key(F.coalesce("prompt", F.lit("")), F.col("model"))) if by_key else calls
+    hits = cut_off(cache, cap).where("not cut_off").select(*keys, F.lit(True).alias("hit"))
+    marked = lookup(calls, hits, keys) if by_key else calls.join(hits, keys, "left")
     new = F.col("hit").isNull()
     sums = marked.groupBy("tier_rank", "tier", "model").agg(F.count("*").alias("calls"), F.sum((~new).cast("long")).alias("cached"), F.coalesce(F.sum(F.when(new, cost_tokens(F.col("prompt")))), F.lit(0)).alias("prompt_tokens"))
     history = ledger_history(ledger).select("model", round_even(F.col("completion_tokens")).alias("expected"))
@@ -102,6 +108,31 @@ def judge_estimate(runs: DataFrame, template_tokens: int, judge_model: str, ledg
     return sums.crossJoin(F.broadcast(each)).select("calls", "prompt_tokens", (F.col("calls") * F.col("each")).alias("completion_tokens"), (F.col("calls") * cap).alias("completion_ceiling"))
 
 
+def judge_stage(calls: DataFrame, answers: DataFrame, judged: DataFrame, judge_model: str, template_tokens: int, ledger: DataFrame, cap: int, runs: bool) -> DataFrame:
+    """One row: calls, cached, new_calls, prompt tokens, completion tokens and ceiling of the judge's stage.
+
+    calls: query_id, tier_rank, prompt, model of every pair of query and tier; answers: query_id, tier_rank, completion of those known: with
+    runs what was answered (queries without a frontier answer, and candidates without an answer, are left out), else what the cache of
+    answers knows. Where both answers are known the judge's prompt is too: it may be in the judge's own cache (judged: keys and
+    limits), else its exact length counts. Otherwise it has the template, the question and the answers as long as their models' answers usually are.
+    """
+    history = ledger_history(ledger).select("model", round_even(F.col("completion_tokens")).alias("expected"))
+    known = calls.join(answers.select("query_id", "tier_rank", "completion"), ["query_id", "tier_rank"], "left").join(F.broadcast(history), "model", "left")
+    known = known.withColumn("expected", F.coalesce("expected", F.lit(ANSWER_TOKENS)))
+    front = known.where(F.col("tier_rank") == FRONTIER).select("query_id", F.col("completion").alias("reference"), F.col("expected").alias("ref"))
+    pairs = known.where(F.col("tier_rank") < FRONTIER).join(front, "query_id")
+    if runs:
+        pairs = pairs.where("reference is not null and completion is not null")
+    prompt = F.when(F.col("reference").isNotNull() & F.col("completion").isNotNull(), judge_prompt(F.coalesce("prompt", F.lit("")), F.col("reference"), F.col("completion")))
+    tokens = F.coalesce(cost_tokens(prompt), F.lit(template_tokens) + cost_tokens(F.coalesce("prompt", F.lit(""))) + F.col("expected") + F.col("ref"))
+    pairs = pairs.select(tokens.alias("tokens"), cache_key(prompt, F.lit(judge_model)).alias("cache_key"))
+    hits = cut_off(judged, cap).where("not cut_off").select("cache_key", F.lit(True).alias("hit"))
+    sums = pairs.join(hits, "cache_key", "left").agg(F.count("*").alias("calls"), F.count("hit").alias("cached"), F.coalesce(F.sum(F.when(F.col("hit").isNull(), F.col("tokens"))), F.lit(0)).alias("prompt_tokens"))
+    each = history.where(F.col("model") == judge_model).agg(F.coalesce(F.max("expected"), F.lit(VERDICT_TOKENS)).alias("each"))
+    new = F.col("calls") - F.col("cached")
+    return sums.crossJoin(F.broadcast(each)).select("calls", "cached", new.alias("new_calls"), "prompt_tokens", (new * F.col("each")).alias("completion_tokens"), (new * cap).alias("completion_ceiling"))
+
+
 def estimate_totals(stages: DataFrame) -> DataFrame:
     """One row: calls to make, usd, usd_max, needs_confirmation (a hosted call), unpriced (models without a price, sorted)."""
     return stages.agg(

@@ -7,7 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierwise.functions.exprs import hash_unit
+from tierwise.functions.exprs import cache_key, hash_unit
+from tierwise.operators.joins import lookup
 from tierwise.operators.ranking import RANGES, ranked
 from tierwise.tiers import FRONTIER, SPLITS, SUFFICIENT, TIERS, tier_name
 
@@ -138,9 +139,31 @@ def reasons(runs: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def true_cost(runs: DataFrame, cache: DataFrame) -> DataFrame:
-    """query_id, tier_rank, true_cost: a cached answer's recorded cost, else the run's."""
-    kept = cache.select("query_id", "tier_rank", F.col("cost_usd").alias("cached_usd"))
-    return runs.join(kept, ["query_id", "tier_rank"], "left").select("query_id", "tier_rank", F.coalesce("cached_usd", "cost_usd").alias("true_cost"))
+    """query_id, tier_rank, true_cost: a cached answer's recorded cost, else the run's.
+
+    A cache with cache_key is content-addressed and met by the runs' prompt and model, any other by query and tier.
+    """
+    if "cache_key" in cache.columns:
+        keyed = runs.withColumn("cache_key", cache_key(F.coalesce("prompt", F.lit("")), F.col("model"))).select("query_id", "tier_rank", "cache_key", "cost_usd")
+        joined = lookup(keyed, cache.select("cache_key", F.col("cost_usd").alias("cached_usd")), ["cache_key"])
+    else:
+        joined = runs.join(cache.select("query_id", "tier_rank", F.col("cost_usd").alias("cached_usd")), ["query_id", "tier_rank"], "left")
+    return joined.select("query_id", "tier_rank", F.coalesce("cached_usd", "cost_usd").alias("true_cost"))
+
+
+def pair_violations(records: DataFrame, references: DataFrame, candidates: DataFrame) -> DataFrame:
+    """query_id, tier, problem of pairs that a judge must not see: a reference that is not the frontier or failed, a candidate that is not cheaper, failed, or is of no known query.
+
+    references and candidates: query_id, tier_rank, error.
+    """
+    tier = tier_name(F.col("tier_rank"))
+    ref = F.when(F.col("tier_rank") != FRONTIER, "reference is not the frontier").when(F.col("error").isNotNull(), "reference failed")
+    own = F.when(F.col("tier_rank") >= FRONTIER, "candidate is not cheaper").when(F.col("error").isNotNull(), "candidate failed")
+    bad = references.select("query_id", tier.alias("tier"), ref.alias("problem")).unionByName(candidates.select("query_id", tier.alias("tier"), own.alias("problem"))).where("problem is not null")
+    both = lambda side: side.select("query_id", tier.alias("tier"))
+    strange = both(candidates).join(records.select("query_id"), "query_id", "left_anti").select("query_id", "tier", F.lit("no such query").alias("problem"))
+    alone = both(candidates).join(references.select("query_id"), "query_id", "left_anti").select("query_id", "tier", F.lit("no reference of this query").alias("problem"))
+    return bad.unionByName(strange).unionByName(alone)
 
 
 def build_examples(runs: DataFrame, verdicts: DataFrame, cache: DataFrame, seed: int = 0, needs_of: Callable[[Column], tuple[Column, Column]] = needs, answer: str = "completion") -> DataFrame:

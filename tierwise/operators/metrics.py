@@ -107,6 +107,13 @@ def risk_coverage(rows: DataFrame) -> DataFrame:
     return run.crossJoin(F.broadcast(total)).select("confidence", (F.col("running_n") / F.col("rows")).alias("coverage"), (F.col("running_wrong") / F.col("running_n")).alias("risk"), "n")
 
 
+def risk_coverage_series(rows: DataFrame) -> DataFrame:
+    """coverage, risk: the points of a figure, which begins at coverage 0 with the risk of the most confident rows."""
+    points = risk_coverage(rows).select("coverage", "risk")
+    first = points.agg(F.min_by("risk", "coverage").alias("risk")).where("risk is not null").select(F.lit(0.0).alias("coverage"), "risk")
+    return first.unionByName(points)
+
+
 def risk_coverage_auc(rows: DataFrame) -> DataFrame:
     """Mean risk over rows, each at its own confidence."""
     return risk_coverage(rows).agg((F.sum(F.col("risk") * F.col("n")) / F.sum("n")).alias("auc"))

@@ -8,7 +8,9 @@ from tierwise.operators import calibration as K
 from tierwise.operators import costs as C
 from tierwise.operators import metrics as M
 from tierwise.operators import routing as R
+from tierwise.operators import training as T
 from tierwise.plans.cost_queries import _RATES
+from tierwise.plans.label_queries import unit_sql
 from tierwise.registry import query
 from tierwise.sources.views import oracle, table, view
 
@@ -191,9 +193,73 @@ def calibration_report(spark, sf_dir):
     return rounded(K.report(view(spark, sf_dir, "v_logits").where("split = 'calibration'"), 1.25), "nll", "ece", "brier", digits=6)
 
 
-@query("leak_guard", oracle("select query_id from v_logits where split = 'train' intersect select case when query_id % 50 = 7 then query_id + 1 else query_id end from v_logits where split = 'calibration'"))
+@query("leak_guard", oracle("select query_id from v_logits where split = 'train' intersect select case when query_id * 7 % 20 = 14 then query_id + 1 else query_id end from v_logits where split = 'calibration'"))
 def leak_guard(spark, sf_dir):
     rows = view(spark, sf_dir, "v_logits")
-    # some calibration rows are given the id of a neighbour, which may be a train row's
-    calibration = rows.where("split = 'calibration'").withColumn("query_id", F.expr("case when query_id % 50 = 7 then query_id + 1 else query_id end"))
+    # the first calibration rows of each twenty ids are given the id of their neighbour, which is a train row's
+    calibration = rows.where("split = 'calibration'").withColumn("query_id", F.expr("case when query_id * 7 % 20 = 14 then query_id + 1 else query_id end"))
     return K.leaked(rows.where("split = 'train'"), calibration)
+
+
+QUESTIONS = {"tier": ("choice", ["z0", "z1", "z2"], "y"), "tools": ("noul", ["a0", "a1"], "yt"), "rag": ("noul", ["b0", "b1"], "yr")}
+_QUESTIONS = "qs as (select query_id, split, 'choice' as qtype, y::integer as y, z0, z1, z2 from v_options union all select query_id, split, 'noul', yt::integer, a0, a1, null from v_options union all select query_id, split, 'noul', yr::integer, b0, b1, null from v_options)"
+_QNLL = "least(greatest(z0, z1, z2) / {t} + ln(exp((z0 - greatest(z0, z1, z2)) / {t}) + exp((z1 - greatest(z0, z1, z2)) / {t}) + coalesce(exp((z2 - greatest(z0, z1, z2)) / {t}), 0)) - case y when 0 then z0 when 1 then z1 else z2 end / {t}, -ln(1e-12::double))"
+_FIT = f"""{_QUESTIONS}, cq as (select * from qs where split = 'calibration'),
+g1 as (select qtype, h, round(avg({_QNLL.format(t="(h / 100::double)")}), 10) as nll from cq cross join (select 50 + 10 * i as h from range(46) r(i)) group by qtype, h),
+b1 as (select qtype, h as around from g1 qualify row_number() over (partition by qtype order by nll, h) = 1),
+g2 as (select cq.qtype, h, count(*) as n, round(avg({_QNLL.format(t="(h / 100::double)")}), 10) as nll from cq join (select distinct qtype, greatest(50, least(500, around + i - 10)) as h from b1 cross join range(21) r(i) union select qtype, 100 from b1) p on p.qtype = cq.qtype group by cq.qtype, h),
+at1 as (select qtype, n, nll from g2 where h = 100),
+b2 as (select g2.qtype, h, g2.nll from g2 join b1 on b1.qtype = g2.qtype where abs(h - around) <= 10 qualify row_number() over (partition by g2.qtype order by g2.nll, h) = 1),
+ft as (select t.qtype, coalesce(n, 0) as n, case when n >= 30 and b2.nll < at1.nll then h / 100::double else 1.0::double end as temperature, at1.nll as nll_before, case when n >= 30 and b2.nll < at1.nll then b2.nll else at1.nll end as nll_after
+  from (values ('choice'), ('score'), ('noul')) t(qtype) left join at1 on at1.qtype = t.qtype left join b2 on b2.qtype = t.qtype)"""
+
+
+def _questions(spark, sf_dir):
+    return K.questions(view(spark, sf_dir, "v_options"), QUESTIONS).where("split = 'calibration'")
+
+
+@query("temperature_by_type", oracle(f"with {_FIT} select qtype, n, temperature, round(nll_before, 8) as nll_before, round(nll_after, 8) as nll_after from ft"))
+def temperature_by_type(spark, sf_dir):
+    return rounded(K.temperature_by_type(_questions(spark, sf_dir)), "nll_before", "nll_after")
+
+
+_BY_TYPE = """{qs}, tt(qtype, stage, t) as (values ('choice', 'before', 1.0::double), ('noul', 'before', 1.0::double), ('choice', 'after', 1.25::double), ('noul', 'after', 0.8::double)),
+sc as (select qs.qtype, stage, y, {nll} as nll, greatest(z0, z1, z2) as m, exp((z0 - greatest(z0, z1, z2)) / t) as a, exp((z1 - greatest(z0, z1, z2)) / t) as b, coalesce(exp((z2 - greatest(z0, z1, z2)) / t), 0) as c, z0, z1, z2 from qs join tt on tt.qtype = qs.qtype where split = 'calibration'),
+pc as (select qtype, stage, y, nll, a / (a + b + c) as p0, b / (a + b + c) as p1, c / (a + b + c) as p2, case when z0 = m then 0 when z1 = m then 1 else 2 end as predicted from sc),
+ce as (select qtype, stage, count(*) as n, sum(nll) as nll, sum((p0 - (y = 0)::int) ** 2 + (p1 - (y = 1)::int) ** 2 + (p2 - (y = 2)::int) ** 2) as brier, avg(greatest(p0, p1, p2)) as cf, avg((predicted = y)::int) as ac from pc group by qtype, stage, greatest(ceil(greatest(p0, p1, p2) * 15), 1)),
+li as (select qtype, stage, sum(n) as n, sum(nll) / sum(n) as nll, sum(n * abs(cf - ac)) / sum(n) as ece, sum(brier) / sum(n) as brier from ce group by qtype, stage)
+select qtype, max(n)::bigint as n, {wide} from li group by qtype"""
+_WIDE = ", ".join(f"round(max({m}) filter (stage = '{s}'), 6) as {m}_{s}" for s in ("before", "after") for m in ("nll", "ece", "brier"))
+
+
+@query("calibration_by_type", oracle("with " + _BY_TYPE.format(qs=_QUESTIONS, nll=_QNLL.format(t="t"), wide=_WIDE)))
+def calibration_by_type(spark, sf_dir):
+    fixed = spark.createDataFrame([("choice", 1.25), ("noul", 0.8)], "qtype string, temperature double")
+    return rounded(K.report_by_type(_questions(spark, sf_dir), fixed), *(f"{m}_{s}" for s in ("before", "after") for m in ("nll", "ece", "brier")), digits=6)
+
+
+_UNIT = unit_sql("'7'", "'order'", "epoch", "query_id")
+
+
+@query("epoch_order", oracle(f"select epoch, row_number() over (partition by epoch order by {_UNIT}, query_id) - 1 as place, query_id from v_logits cross join (values (1), (2)) e(epoch) where split = 'train'"))
+def epoch_order(spark, sf_dir):
+    return T.epoch_order(view(spark, sf_dir, "v_logits").where("split = 'train'"), 7, [1, 2])
+
+
+def _slot_sql(n: int) -> str:
+    return "list_transform(list_sort([" + ", ".join(f"{{'u': {unit_sql(chr(39) + '7' + chr(39), chr(39) + 'slot' + chr(39), 'query_id', chr(39) + str(i) + chr(39))}, 'i': {i}}}" for i in range(n)) + "]), lambda x: x.i)"
+
+
+@query("slot_loss", oracle(f"""with s as (select query_id, y, z0, z1, z2, yt, a0, a1, {_slot_sql(3)} as o3, {_slot_sql(2)} as o2 from v_options)
+select query_id, array_to_string(o3, ',') as option_order, list_position(o3, y)::integer - 1 as slot, round(ln(exp(z0) + exp(z1) + exp(z2)) - [z0, z1, z2][y + 1], 8) as loss, list_position(o2, yt)::integer - 1 as tools_slot, round(ln(exp(a0) + exp(a1)) - [a0, a1][yt + 1], 8) as tools_loss from s"""))
+def slot_loss(spark, sf_dir):
+    shown = T.slots(view(spark, sf_dir, "v_options"), 7, 3)
+    loss = T.slot_loss([F.get(F.array("z0", "z1", "z2"), F.get("option_order", F.lit(i))) for i in range(3)], F.col("slot"))
+    rows = shown.select("query_id", F.array_join(F.transform("option_order", lambda x: x.cast("string")), ",").alias("order3"), F.col("slot").alias("slot3"), loss.alias("loss"), "yt", "a0", "a1")
+    two = T.slots(rows, 7, 2, "yt").select("query_id", F.col("order3").alias("option_order"), F.col("slot3").alias("slot"), "loss", F.col("slot").alias("tools_slot"), T.margin_loss(F.col("a1"), F.col("a0"), F.col("yt")).alias("tools_loss"))
+    return rounded(two, "loss", "tools_loss")
+
+
+@query("risk_coverage_series", with_p("select coverage, risk from (select 0e0 as coverage, round(risk, 8) as risk from (select risk, coverage from rw order by coverage limit 1) union all select distinct round(coverage, 8), round(risk, 8) from rw)", _RC))
+def risk_coverage_series(spark, sf_dir):
+    return rounded(M.risk_coverage_series(predicted(spark, sf_dir)), "coverage", "risk")

@@ -119,9 +119,9 @@ def skip_reasons(spark, sf_dir):
     return L.reasons(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_verdicts")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("true_cost", oracle("select r.query_id, r.tier_rank, round(coalesce(c.cost_usd, r.cost_usd), 9) as true_cost from v_runs r left join v_cache c on c.query_id = r.query_id and c.tier_rank = r.tier_rank"))
+@query("true_cost", oracle("select r.query_id, r.tier_rank, round(coalesce(c.cost_usd, r.cost_usd), 9) as true_cost from v_runs r left join v_answers c on c.cache_key = sha256(coalesce(r.prompt, '') || chr(0) || r.model)"))
 def true_cost(spark, sf_dir):
-    return L.true_cost(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_cache")).withColumn("true_cost", F.round("true_cost", 9))
+    return L.true_cost(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_answers")).withColumn("true_cost", F.round("true_cost", 9))
 
 
 @query("upsert_runs", oracle("""with old as (select query_id, tier_rank, completion_tokens, query_id as seq from v_runs where query_id % 3 <> 0),
@@ -167,6 +167,33 @@ def flag_counts(spark, sf_dir):
     return shares.flags(examples(spark, sf_dir), F.col("needs_rag"), "needs_rag")
 
 
-@query("split_index", with_examples("select s.split, count(query_id) as n, sha256(coalesce(string_agg(query_id::varchar, chr(10) order by query_id::varchar), '')) as ids_sha256 from (values ('train'), ('calibration'), ('test')) s(split) left join v_examples e on e.split = s.split group by s.split"))
+def digest_sql(rows: str, levels: int = 6) -> str:
+    """CTEs dn (grp, n) and dg (grp, digest) of rows (grp, id): flat digests of parts by the first digits of hashed ids, folded level by level."""
+    steps = [f"di as (select grp, id::varchar as id from {rows} where id is not null)", "dn as (select grp, count(*) as n, greatest(0, ceil(ln(count(*) / 4096::double) / ln(16::double)))::integer as digits from di group by grp)"]
+    steps.append(f"d{levels} as (select grp, part, sha256(string_agg(id, chr(10) order by id)) as digest from (select di.grp, id, substr(sha256(id), 1, digits) as part from di join dn on dn.grp = di.grp) group by grp, part)")
+    for at in range(levels, 0, -1):
+        steps.append(f"d{at - 1} as (select grp, up as part, case when max(length(part)) = {at} then sha256(string_agg(digest, chr(10) order by part)) else max(digest) end as digest from (select *, case when length(part) = {at} then substr(part, 1, {at - 1}) else part end as up from d{at}) group by grp, up)")
+    return ", ".join(steps) + ", dg as (select grp, digest from d0)"
+
+
+@query("split_index", with_examples(f"select * from (with {digest_sql('(select split as grp, query_id as id from v_examples)')} select s.split, coalesce(n, 0) as n, coalesce(digest, sha256('')) as ids_sha256 from (values ('train'), ('calibration'), ('test')) s(split) left join dg on dg.grp = s.split left join dn on dn.grp = s.split)"))
 def split_index(spark, sf_dir):
     return shares.split_index(examples(spark, sf_dir))
+
+
+@query("rows_fingerprint", f"""with {digest_sql("(select case when doc_id % 10 < 9 then 'fit' else 'holdout' end as grp, doc_id as id from documents)")}
+select coalesce(max(n) filter (dn.grp = 'fit'), 0) as n_fit, coalesce(max(n) filter (dn.grp = 'holdout'), 0) as n_holdout, sha256('[["' || coalesce(max(digest) filter (dg.grp = 'fit'), sha256('')) || '"], ["' || coalesce(max(digest) filter (dg.grp = 'holdout'), sha256('')) || '"]]') as rows_sha256 from dg join dn on dn.grp = dg.grp""")
+def rows_fingerprint(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 10 < 9, "fit").otherwise("holdout").alias("split"), F.col("doc_id").alias("query_id"))
+    return shares.rows_fingerprint(rows)
+
+
+@query("pair_violations", oracle("""with r as (select query_id, tier_rank, tier, error from v_runs where query_id % 4 <> 1), ref as (select * from r where tier_rank = case when query_id % 7 = 0 then 1 else 2 end), cand as (select * from v_runs where tier_rank < 2 or query_id % 11 = 0)
+select query_id, tier, case when tier_rank <> 2 then 'reference is not the frontier' else 'reference failed' end as problem from ref where tier_rank <> 2 or error is not null
+union all select query_id, tier, case when tier_rank >= 2 then 'candidate is not cheaper' else 'candidate failed' end from cand where tier_rank >= 2 or error is not null
+union all select query_id, tier, 'no such query' from cand where query_id % 5 = 0 union all select query_id, tier, 'no reference of this query' from cand where query_id not in (select query_id from ref)"""))
+def pair_violations(spark, sf_dir):
+    runs = view(spark, sf_dir, "v_runs").select("query_id", "tier_rank", "error")
+    references = runs.where("query_id % 4 <> 1 and tier_rank = case when query_id % 7 = 0 then 1 else 2 end")
+    records = runs.where("query_id % 5 <> 0").select("query_id").distinct()
+    return L.pair_violations(records, references, runs.where("tier_rank < 2 or query_id % 11 = 0"))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tierwise.operators import history as H
@@ -13,7 +10,9 @@ from tierwise.operators import publishing as P
 from tierwise.plans.eval_queries import rounded
 from tierwise.plans.label_queries import BUILT, examples, with_examples
 from tierwise.registry import query
+from tierwise.sources.io import shared_place
 from tierwise.sources.views import oracle, table, view
+from tierwise.streaming import calls as SC
 from tierwise.streaming import ledger as S
 
 
@@ -123,12 +122,6 @@ def micro_batch_loss(spark, sf_dir):
     return rounded(H.micro_batches(view(spark, sf_dir, "v_history").select((F.col("step") - 1).alias("micro"), "loss"), 2), "loss")
 
 
-def _place(spark) -> str:
-    """A new folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tierwise-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark, sf_dir):
     rows = S.file_stream(spark, f"{sf_dir}/events.parquet*", table(spark, sf_dir, "events").schema)
     return rows.withColumnsRenamed({"event_type": "tier", "value": "usd"})
@@ -136,18 +129,18 @@ def _events(spark, sf_dir):
 
 @query("stream_ledger_totals", "select event_type as tier, round(sum(value), 6) as usd, count(*) as calls from events group by event_type")
 def stream_ledger_totals(spark, sf_dir):
-    return rounded(S.into_table(S.running_totals(_events(spark, sf_dir)), _place(spark)), "usd", digits=6)
+    return rounded(S.into_table(S.running_totals(_events(spark, sf_dir)), shared_place(spark)), "usd", digits=6)
 
 
 @query("stream_dedup", "select distinct user_id, event_type as tier from events")
 def stream_dedup(spark, sf_dir):
-    place = _place(spark)
+    place = shared_place(spark)
     return S.into_files(S.once(_events(spark, sf_dir), ["user_id", "tier"]).select("user_id", "tier"), f"{place}/out", f"{place}/state")
 
 
 @query("stream_upsert", "select user_id, event_type as tier, max(event_id) as seq, arg_max(value, event_id) as usd from events group by user_id, event_type")
 def stream_upsert(spark, sf_dir):
-    place = _place(spark)
+    place = shared_place(spark)
     rows = _events(spark, sf_dir).select("user_id", "tier", F.col("event_id").alias("seq"), "usd")
     return S.upsert_stream(rows, f"{place}/out", ["user_id", "tier"], f"{place}/state")
 
@@ -155,7 +148,7 @@ def stream_upsert(spark, sf_dir):
 @query("stream_route", oracle("""with m as (select vec_id as query_id, embedding[1]::double * 8 as a, embedding[2]::double * 8 as b, embedding[3]::double * 8 as c from embeddings), p as (select query_id, case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as predicted, 1 / (exp(a - greatest(a, b, c)) + exp(b - greatest(a, b, c)) + exp(c - greatest(a, b, c))) as confidence from m)
 select query_id, predicted, round(confidence, 8) as confidence, confidence < 0.6e0 and predicted < 2 as escalated, case when confidence < 0.6e0 and predicted < 2 then predicted + 1 else predicted end as served from p"""))
 def stream_route(spark, sf_dir):
-    place = _place(spark)
+    place = shared_place(spark)
     rows = S.file_stream(spark, f"{sf_dir}/embeddings.parquet*", table(spark, sf_dir, "embeddings").schema)
     logits = rows.select(F.col("vec_id").alias("query_id"), *((F.get("embedding", F.lit(i)).cast("double") * 8).alias(f"z{i}") for i in range(3)))
     return rounded(S.into_files(S.route(logits, 0.6), f"{place}/out", f"{place}/state"), "confidence")
@@ -163,5 +156,34 @@ def stream_route(spark, sf_dir):
 
 @query("hourly_spend", "select date_trunc('hour', ts) as hour, event_type as tier, round(sum(value), 6) as usd from events group by 1, 2")
 def hourly_spend(spark, sf_dir):
-    out = S.into_table(S.hourly_spend(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))), _place(spark))
+    place = shared_place(spark)
+    out = S.hourly_files(_events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), f"{place}/out", f"{place}/state")
     return rounded(out.withColumn("hour", F.col("hour").cast("timestamp_ntz")), "usd", digits=6)
+
+
+@query("stream_duplicate_calls", "select event_type as tier, count(*) as calls, count(*) - count(distinct user_id) as cached from events group by event_type")
+def stream_duplicate_calls(spark, sf_dir):
+    place = shared_place(spark)
+    key = F.sha2(F.concat_ws(":", F.col("user_id").cast("string"), "tier"), 256)
+    marked = SC.seen_before(_events(spark, sf_dir).select(key.alias("cache_key"), "tier", F.col("event_id").alias("call_id")))
+    out = S.into_files(marked, f"{place}/out", f"{place}/state")
+    return out.groupBy("tier").agg(F.count("*").alias("calls"), F.sum(F.col("cached").cast("long")).alias("cached"))
+
+
+@query("stream_canary", "select event_type as tier, count(*) as admitted, round(sum(value), 6) as usd from events group by event_type")
+def stream_canary(spark, sf_dir):
+    place = shared_place(spark)
+
+    def first(one):
+        if not one.where("usd is null").isEmpty():
+            raise RuntimeError("the first call has no cost")
+
+    SC.gated(_events(spark, sf_dir).select("tier", "usd"), f"{place}/state", f"{place}/admitted", first, lambda batch, n: batch.write.mode("overwrite").parquet(f"{place}/out/batch={n}"))
+    out = spark.read.schema("tier string, usd double").parquet(f"{place}/out")
+    return rounded(out.groupBy("tier").agg(F.count("*").alias("admitted"), F.sum("usd").alias("usd")), "usd", digits=6)
+
+
+@query("validation_history", oracle("select h.step, round(h.loss, 8) as loss, round(v.validation, 8) as validation from v_history h left join (select step, loss * 1.5e0 as validation from v_history where step % 4 = 0) v on v.step = h.step"))
+def validation_history(spark, sf_dir):
+    rows = view(spark, sf_dir, "v_history")
+    return rounded(H.with_validation(rows, rows.where("step % 4 = 0").select("step", (F.col("loss") * 1.5).alias("validation"))), "loss", "validation")

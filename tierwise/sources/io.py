@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
@@ -25,6 +26,16 @@ SCHEMAS = {
 DEFAULTS = {"cache": {"max_tokens": 1024}}
 
 
+def shared_place(spark: SparkSession) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir. A local one only in a session of one machine; a cluster without a shared folder raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tierwise-")
+    return f"{base}/tierwise-{uuid.uuid4().hex}"
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(SCHEMAS[name])
 
@@ -78,21 +89,42 @@ def latest(spark: SparkSession, path: str) -> str | None:
     return rows[0].value if rows else None
 
 
-def write_upsert(new: DataFrame, path: str, keys: Sequence[str]) -> str:
-    """Merges rows (with seq) into a table of versions: a whole new version first, then the pointer. Old versions stay readable."""
+def manifest(spark: SparkSession, path: str, version: str | None) -> dict[int, str]:
+    """bucket -> the version that holds it: at most as many rows as buckets."""
+    if version is None:
+        return {}
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version string").json(f"{path}/_manifests/{version}").collect()}
+
+
+def write_upsert(new: DataFrame, path: str, keys: Sequence[str], buckets: int = 32) -> str:
+    """Merges rows (with seq) into a table of versions, rewriting only the buckets of keys that have new rows.
+
+    The new files come first, then a manifest that names the version of each bucket, then the pointer to it: a reader sees the old
+    table or the new one. Old versions stay readable.
+    """
     spark = new.sparkSession
     have = latest(spark, path)
-    rows = new if have is None else upsert(spark.read.parquet(f"{path}/{have}"), new, keys)
-    if have is None:
-        rows = upsert(new.limit(0), new, keys)
+    held = manifest(spark, path, have)
+    bucket = F.pmod(F.hash(*keys), F.lit(buckets)).cast("int")
+    touched = sorted(r.bucket for r in new.select(bucket.alias("bucket")).distinct().collect())
+    if not touched and have is not None:
+        return have
+    files = [f"{path}/{held[b]}/__bucket={b}" for b in touched if b in held]
+    old = spark.read.schema(new.schema).parquet(*files) if files else new.limit(0)
     version = f"v-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{path}/{version}")
+    upsert(old, new, keys).withColumn("__bucket", bucket).write.partitionBy("__bucket").parquet(f"{path}/{version}")
+    named = sorted((held | dict.fromkeys(touched, version)).items())
+    spark.createDataFrame(named, "bucket int, version string").coalesce(1).write.json(f"{path}/_manifests/{version}")
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/_latest")
     return version
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{latest(spark, path)}")
+def read_upserted(spark: SparkSession, path: str, schema: StructType, version: str | None = None) -> DataFrame:
+    """The table as of a version, by default the latest; empty if there is none."""
+    held = manifest(spark, path, version or latest(spark, path))
+    if not held:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/{v}/__bucket={b}" for b, v in sorted(held.items())))
 
 
 def write_document(row: DataFrame, path: str) -> None:

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tierwise.operators.judging import TEMPLATE
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 #: In the order in which they may use each other.
@@ -53,12 +55,23 @@ from (select vec_id, embedding, mod(label,3) as y from embeddings) x""",
   when 5 then '{{"verdict": "better", "reason": "x"}}'
   else '{{"verdict": "worse"}}' end as reply from documents""",
     "v_history": "select doc_id+1 as step, 1e0/(doc_id+2) + mod(doc_id*37,11)*0.01e0 as loss from documents",
+    "v_answers": """select {s0}concat(coalesce(r.prompt,''),chr(0),r.model){s1} as cache_key, r.model, min_by(r.completion,r.query_id) as completion, min_by(r.prompt_tokens,r.query_id) as prompt_tokens,
+       min_by(c.completion_tokens,r.query_id) as completion_tokens, min_by(c.cost_usd,r.query_id) as cost_usd, min_by(c.max_tokens,r.query_id) as max_tokens
+from v_runs r join v_cache c on c.query_id=r.query_id and c.tier_rank=r.tier_rank group by 1, 2""",
+    "v_judged": """select {s0}concat('{t0}',coalesce(c.prompt,''),'{t1}',f.completion,'{t2}',c.completion,'{t3}',chr(0),'o/judge'){s1} as cache_key,
+       cast(60 as bigint) as completion_tokens, max(case when mod(c.query_id,6)=0 then 60 else 4096 end) as max_tokens
+from v_runs c join v_runs f on f.query_id=c.query_id and f.tier_rank=2 and f.error is null where c.tier_rank<2 and c.error is null and mod(c.query_id,3)=0 group by 1""",
+    "v_options": """select l.query_id, l.split, l.y, l.z0, l.z1, l.z2, x.yt, x.a0, x.a1, x.yr, x.b0, x.b1 from v_logits l
+join (select vec_id, mod(vec_id,2) as yt, {e4}*8 + case when mod(vec_id,2)=0 then mod(vec_id*13,9)*0.4e0 else 0e0 end as a0, {e5}*8 + case when mod(vec_id,2)=1 then mod(vec_id*13,9)*0.4e0 else 0e0 end as a1,
+             case when mod(vec_id,5)<2 then 1 else 0 end as yr, {e6}*3 + case when mod(vec_id,5)>=2 then 0.7e0 else 0e0 end as b0, {e7}*3 + case when mod(vec_id,5)<2 then 0.7e0 else 0e0 end as b1 from embeddings) x on x.vec_id=l.query_id""",
 }
 _ELEMENT = {"spark": "cast(element_at(embedding,{i}) as double)", "duckdb": "cast(embedding[{i}] as double)"}
 
+_HASH = {"spark": {"s0": "sha2(", "s1": ",256)"}, "duckdb": {"s0": "sha256(", "s1": ")"}}
+
 
 def _chain(engine: str) -> list[str]:
-    elements = {f"e{i}": _ELEMENT[engine].format(i=i) for i in (1, 2, 3)}
+    elements = {f"e{i}": _ELEMENT[engine].format(i=i) for i in range(1, 8)} | _HASH[engine] | {f"t{i}": part.replace("'", "''") for i, part in enumerate(TEMPLATE.split("%s"))}
     return [f"{name} as ({sql.format(**elements)})" for name, sql in VIEWS.items()]
 
 

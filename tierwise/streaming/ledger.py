@@ -59,7 +59,7 @@ def once(calls: DataFrame, keys: Sequence[str], time: str | None = None, late: s
 def upsert_stream(rows: DataFrame, path: str, keys: Sequence[str], checkpoint: str) -> DataFrame:
     """Merges each micro-batch into a table of versions; a batch that is run again gives the same table."""
     finish(rows.writeStream.foreachBatch(lambda batch, _: write_upsert(batch, path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    return read_upserted(rows.sparkSession, path)
+    return read_upserted(rows.sparkSession, path, rows.schema)
 
 
 def route(logits: DataFrame, tau: float, temperature: float = 1.0) -> DataFrame:
@@ -72,3 +72,18 @@ def route(logits: DataFrame, tau: float, temperature: float = 1.0) -> DataFrame:
 def hourly_spend(ledger: DataFrame, time: str = "ts", late: str = "2 hours") -> DataFrame:
     """An extension: hour, tier, usd over tumbling windows with a watermark."""
     return ledger.withWatermark(time, late).groupBy(F.window(time, "1 hour"), "tier").agg(F.sum("usd").alias("usd")).select(F.col("window.start").alias("hour"), "tier", "usd")
+
+
+def hourly_files(ledger: DataFrame, path: str, checkpoint: str, time: str = "ts", late: str = "2 hours") -> DataFrame:
+    """hourly_spend() as files: each micro-batch writes the hours that it has changed, and the last of each hour and tier counts.
+
+    Nothing is kept in the driver; hours behind the watermark leave the state.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    rows = hourly_spend(ledger, time, late)
+    finish(rows.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    found = rows.sparkSession.read.parquet(path)
+    return found.groupBy("hour", "tier").agg(F.max_by("usd", "batch").alias("usd"))
