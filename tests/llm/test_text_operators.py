@@ -408,6 +408,8 @@ def test_license_spans(spark):
 def test_quality(spark):
     clean = "\n".join(" ".join(f"word{i * 12 + j}" for j in range(12)) for i in range(10))
     texts = [None, "", "short", clean, " ".join("spam ham egg".split() * 60), " ".join(f"w{i}###" for i in range(90)), "\n".join(["one line of words here again"] * 12 + [f"v{i} u{i}" for i in range(40)])]
+    # thresholds come from the texts around
+    texts += [clean + f" more{i}" for i in range(60)]
     got = {r.doc_id: r for r in quality_rules.judged(quality_rules.measured(frame(spark, texts))).collect()}
     for i, t in enumerate(texts):
         w = WORD.findall(t or "")
@@ -431,17 +433,59 @@ def test_quality_thresholds(spark):
     rows += texts
     docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
     measured = quality_rules.measured(docs)
-    got = {r.doc_id: r for r in quality_rules.judged(measured, least=100).collect()}
+    got = {r.doc_id: r for r in quality_rules.judged(measured, weight=30).collect()}
     assert [got[i].kept for i in range(3)] == [False, True, True]
     # junk alone: of its own sketch the rule would be off, the guard is the threshold of everything
-    own = {r.doc_id: r for r in quality_rules.judged(measured, least=20).collect()}
+    own = {r.doc_id: r for r in quality_rules.judged(measured, weight=1).collect()}
     assert not any(r.kept for i, r in own.items() if i >= 303 and len(rows[i][1].split()[0]) >= 40)
-    # brute force of the thresholds
-    cuts = {(r.level, r.source): r.cut_length for r in quality_rules.thresholds(quality_rules.sketches(measured)).collect()}
-    for source in ("short", "long"):
-        bins = sorted((v if v < 256 else v >> (v.bit_length() - 8) << (v.bit_length() - 8)) for v in (100 * r.word_chars // r.n_words for r in got.values() if r.source == source))
-        at = lambda p: bins[-(-len(bins) * p // 100) - 1]  # noqa: E731, B023
-        assert cuts[2, source] == at(75) + 10 * max(at(75) - at(50), 20)
+    # brute force of all thresholds, shrunk by languages and everything
+    values = {k: [] for k in quality_rules.UPPER}
+    for r in got.values():
+        for k, v in {"symbols": 1000 * r.n_symbols // r.n_words, "lines": 1000 * r.n_dup_lines // r.n_lines, "repeats": 1000 * r.n_repeat_words // r.n_words, "length": 100 * r.word_chars // r.n_words}.items():
+            values[k].append((r.lang, r.source, v if v < 256 else v >> (v.bit_length() - 8) << (v.bit_length() - 8)))
+    for weight in (30, 1000):
+        cuts = {r.source2: r for r in quality_rules.thresholds(quality_rules.sketches(measured), weight=weight).collect()}
+        for k, (high, times) in quality_rules.UPPER.items():
+
+            def sketch(keep):
+                bins = sorted(v for lang, source, v in values[k] if keep(lang, source))  # noqa: B023
+                at = lambda p: bins[-(-len(bins) * p // 100) - 1]  # noqa: E731, B023
+                return len(bins), at(75), at(high) - at(50)  # noqa: B023
+
+            every = sketch(lambda lang, source: True)
+            for source, row in cuts.items():
+                n, *both = sketch(lambda lang, x: x == source)  # noqa: B023
+                # one language holds everything here
+                m, *two = every
+                mid, spread = ((n * a + weight * ((m * b + weight * b) // (m + weight))) // (n + weight) for a, b in zip(both, two, strict=True))
+                expected = max(20, min(mid + times * spread, 2 * max(20, every[1] + times * every[2])))
+                assert row[f"cut_{k}"] == expected, (weight, k, source)
+
+
+def test_quality_of_null_groups_and_repeats(spark):
+    """Null languages and sources are groups of their own; repeated rows, long texts and rows without an id are judged alike."""
+    rnd = random.Random(2)
+    made = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 7))) for _ in range(n))
+    same, long = made(90), made(120_000)
+    rows = [(1, same, None, None), (1, same, None, None), (None, same, None, "s"), (2, same, "en", None), (3, long, None, None), (4, None, None, None)] + [(10 + i, made(80), None, None) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = quality_rules.judged(quality_rules.measured(docs)).collect()
+    assert len(found) == len(rows) and {r.kept for r in found if r.doc_id != 4} == {True} and {r.n_words for r in found if r.doc_id == 3} == {120_000}
+    assert [r.kept for r in found if r.doc_id == 4] == [False]
+
+
+def test_quality_cuts_decide_on_real_texts(spark):
+    """On the tables of sf0.01 the cuts of symbols, lines, repeats and length differ by group, and no labelled-good text is rejected."""
+    import os
+
+    place = "/root/testdata/sf0.01"
+    if not os.path.isdir(place):
+        pytest.skip("no test data")
+    measured = quality_rules.measured(spark.read.parquet(f"{place}/documents.parquet"))
+    cuts = quality_rules.thresholds(quality_rules.sketches(measured)).collect()
+    assert sum(len({r[f"cut_{k}"] for r in cuts}) > 5 for k in quality_rules.UPPER) >= 3
+    good = spark.read.parquet(f"{place}/labels.parquet").where("quality = 1").select("doc_id")
+    assert quality_rules.judged(measured).where("not base_failed and not kept").join(good, "doc_id").count() == 0
 
 
 def test_urls(spark):

@@ -3,14 +3,13 @@
 Each text gets counts (words, symbols, repeated lines, words in repeated three-word windows) and four
 rates in whole numbers. The rates of each language and source are gathered in quantile sketches that
 merge by addition: counts of log-linear integer bins (a value below 256 is its own bin, larger ones keep
-their eight leading bits, so a quantile is exact to 0.8 %). Thresholds come from the sketch of a
-document's own language and source, or, where that has too few texts, from the merged sketches of the
-language or of everything; a join brings them back to the documents.
+their eight leading bits, so a quantile is exact to 0.8 %). All thresholds are read from these sketches.
 
-A rate is rejected beyond ``q75 + SPREAD * max(q75 - q50, the rate's least spread)`` of its group: quantiles
-place every threshold, up or down. The least spread is there for groups in which most texts have the same value
-(a source without any symbols). A threshold is at most GUARD times that of everything, so a source that is
-mostly junk cannot switch a rule off.
+A rate is rejected beyond ``q75 + TIMES * spread``, where the spread is an upper quantile less the median. Both are shrunk: those of a
+language and source are weighed, by its number of texts against ``WEIGHT``, with those of the language's merged sketch, and
+these likewise with those of everything, so a small group takes after its language, and no group jumps from one rule to
+another as it grows. A threshold is at most GUARD times that of everything, so a source that is mostly junk cannot switch a
+rule off, and at least GRAIN: what a single symbol or repeat weighs in the shortest text that passes the base rule.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources
 are groups of their own; repeated rows and rows without an id are judged like any other; an empty table
@@ -25,10 +24,11 @@ from pyspark.sql import functions as F
 from tierwise.llm.common import stored, table
 
 SYMBOLS = "#*$%&|<>"
-#: Rates and their least spreads: symbols, repeated lines and repeated words per 1000, hundredths of a character a word.
-SPREADS = {"symbols": 20, "lines": 40, "repeats": 30, "length": 20}
-#: Spreads beyond the upper quartile, texts that a group of its own needs, and the bound by the threshold of everything.
-SPREAD, LEAST, GUARD = 10, 100, 2
+#: Rates with the upper quantile of their spread and how many spreads a text may be away: symbols, repeated lines and repeated words
+#: per 1000, hundredths of a character a word.
+UPPER = {"symbols": (90, 8), "lines": (95, 6), "repeats": (90, 8), "length": (90, 4)}
+#: Texts that a merged sketch counts for, the bound by the threshold of everything, and one occurrence in 50 words.
+WEIGHT, GUARD, GRAIN = 1000, 2, 1000 // 50
 
 
 def let(value: Column, use) -> Column:
@@ -93,29 +93,42 @@ def sketches(rows: DataFrame) -> DataFrame:
     return wide.groupBy("level", "lang", "source", "rate", "bin").agg(F.sum("n").alias("n"))
 
 
-def thresholds(merged: DataFrame, spreads: dict[str, int] = SPREADS, spread: int = SPREAD) -> DataFrame:
-    """level, lang, source, texts and one column cut_<rate> for each rate."""
+def quantiles(merged: DataFrame, upper: dict[str, tuple[int, int]] = UPPER) -> DataFrame:
+    """level, lang, source, texts, and for each rate mid_<rate> (q75) and spread_<rate> of each sketch."""
     group = ["level", "lang", "source", "rate"]
     own = Window.partitionBy(*group)
     ranked = merged.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("texts", F.sum("n").over(own))
     at = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("texts") * p, F.col("bin")))
-    quantiles = ranked.groupBy(*group).agg(F.max("texts").alias("texts"), at(50).alias("q50"), at(75).alias("q75"))
-    narrow = F.coalesce(*(F.when(F.col("rate") == k, F.lit(v)) for k, v in spreads.items())).cast("long")
-    cut = quantiles.withColumn("cut", F.col("q75") + spread * F.greatest(F.col("q75") - F.col("q50"), narrow))
-    return cut.groupBy("level", "lang", "source").agg(F.max("texts").alias("texts"), *(F.max(F.when(F.col("rate") == k, F.col("cut"))).alias(f"cut_{k}") for k in spreads))
+    high = F.coalesce(*(F.when(F.col("rate") == k, F.lit(p)) for k, (p, _) in upper.items()))
+    found = ranked.groupBy(*group).agg(F.max("texts").alias("texts"), at(F.lit(50)).alias("q50"), at(F.lit(75)).alias("q75"), at(high).alias("high"))
+    of = lambda k, x: F.max(F.when(F.col("rate") == k, x))
+    wide = [of(k, F.col("q75")).alias(f"mid_{k}") for k in upper] + [of(k, F.col("high") - F.col("q50")).alias(f"spread_{k}") for k in upper]
+    return found.groupBy("level", "lang", "source").agg(F.max("texts").alias("texts"), *wide)
+
+
+def thresholds(merged: DataFrame, upper: dict[str, tuple[int, int]] = UPPER, weight: int = WEIGHT) -> DataFrame:
+    """lang2, source2 and cut_<rate> of each language and source."""
+    found = quantiles(merged, upper)
+    names = ["texts", *(f"{x}_{k}" for x in ("mid", "spread") for k in upper)]
+    pick = lambda level, keys: found.where(F.col("level") == level).select(*(F.col(k).alias(f"{k}{level}") for k in keys), *(F.col(x).alias(f"{x}{level}") for x in names))
+    both, one, every = pick(2, ["lang", "source"]), pick(1, ["lang"]), pick(0, [])
+    # the quantiles of a pair, its language and everything (one row) side by side
+    chosen = both.join(one, both.lang2.eqNullSafe(one.lang1)).join(F.broadcast(every))
+
+    def shrunk(x: str) -> Column:
+        language = f"((texts1 * {x}1 + {weight} * {x}0) div (texts1 + {weight}))"
+        return F.expr(f"(texts2 * {x}2 + {weight} * {language}) div (texts2 + {weight})")
 
+    cuts = []
+    for k, (_, times) in upper.items():
+        general = F.greatest(F.lit(GRAIN), F.col(f"mid_{k}0") + times * F.col(f"spread_{k}0"))
+        cuts.append(F.greatest(F.lit(GRAIN), F.least(shrunk(f"mid_{k}") + times * shrunk(f"spread_{k}"), GUARD * general)).alias(f"cut_{k}"))
+    return chosen.select("lang2", "source2", *cuts)
 
-def judged(rows: DataFrame, spreads: dict[str, int] = SPREADS, spread: int = SPREAD, least: int = LEAST) -> DataFrame:
+
+def judged(rows: DataFrame, upper: dict[str, tuple[int, int]] = UPPER, weight: int = WEIGHT) -> DataFrame:
     """measured rows with base_failed and kept. rows is read twice."""
-    cuts = thresholds(sketches(rows), spreads, spread)
-    names = [f"cut_{k}" for k in spreads]
-    pick = lambda level, keys: cuts.where(F.col("level") == level).select(*(F.col(k).alias(f"{k}{level}") for k in keys), *(F.col(x).alias(f"{x}{level}") for x in ["texts", *names]))
-    both, one, every = pick(2, ["lang", "source"]), pick(1, ["lang"]), pick(0, [])
-    # the thresholds of a pair, its language and everything side by side, then one join with the documents
-    chosen = both.join(one, both.lang2.eqNullSafe(one.lang1)).join(F.broadcast(every))
-    own = lambda x: F.when(F.col("texts2") >= least, F.col(f"{x}2")).when(F.col("texts1") >= least, F.col(f"{x}1")).otherwise(F.col(f"{x}0"))
-    use = [F.least(own(x), GUARD * F.col(f"{x}0")).alias(x) for x in names]
-    chosen = chosen.select("lang2", "source2", *use)
+    chosen = thresholds(sketches(rows), upper, weight)
     found = rows.join(chosen, rows.lang.eqNullSafe(chosen.lang2) & rows.source.eqNullSafe(chosen.source2), "left")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     within = F.lit(True)
@@ -132,7 +145,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = "[^\\x20\\x09-\\x0D]+"
-_RATES = "(values ('symbols', 20), ('lines', 40), ('repeats', 30), ('length', 20)) as f(rate, narrow)"
+_RATES = "(values ('symbols', 90, 8), ('lines', 95, 6), ('repeats', 90, 8), ('length', 90, 4)) as f(rate, high, times)"
 
 ORACLE = rf"""
 with w as (
@@ -164,14 +177,12 @@ with w as (
   union all select 1, lang, null, rate, bin, sum(n) from b group by all
   union all select 0, null, null, rate, bin, sum(n) from b group by all
 ), k as (
-  select level, lang, source, rate, max(texts) as texts, min(bin) filter (upto * 100 >= texts * 50) as q50, min(bin) filter (upto * 100 >= texts * 75) as q75
-  from (select *, sum(n) over (partition by level, lang, source, rate order by bin) as upto, sum(n) over (partition by level, lang, source, rate) as texts from s)
+  select level, lang, source, rate, max(texts) as texts, min(bin) filter (upto * 100 >= texts * 75) as mid, min(bin) filter (upto * 100 >= texts * high) - min(bin) filter (upto * 100 >= texts * 50) as spread, max(times) as times
+  from (select *, sum(n) over (partition by level, lang, source, rate order by bin) as upto, sum(n) over (partition by level, lang, source, rate) as texts from s join {_RATES} using (rate))
   group by level, lang, source, rate
-), c as (
-  select level, lang, source, k.rate, texts, q75 + 10 * greatest(q75 - q50, narrow) as cut from k join {_RATES} on k.rate = f.rate
 ), p as (
-  select a.lang, a.source, a.rate, least(case when a.texts >= 100 then a.cut when l.texts >= 100 then l.cut else e.cut end, 2 * e.cut) as cut
-  from c a join c l on a.level = 2 and l.level = 1 and a.rate = l.rate and a.lang is not distinct from l.lang join c e on e.level = 0 and e.rate = a.rate
+  select a.lang, a.source, a.rate, greatest(20, least((a.texts * a.mid + 1000 * ((l.texts * l.mid + 1000 * e.mid) // (l.texts + 1000))) // (a.texts + 1000) + a.times * ((a.texts * a.spread + 1000 * ((l.texts * l.spread + 1000 * e.spread) // (l.texts + 1000))) // (a.texts + 1000)), 2 * greatest(20, e.mid + e.times * e.spread))) as cut
+  from k a join k l on a.level = 2 and l.level = 1 and a.rate = l.rate and a.lang is not distinct from l.lang join k e on e.level = 0 and e.rate = a.rate
 ), o as (
   select lang, source, max(cut) filter (rate = 'symbols') as c1, max(cut) filter (rate = 'lines') as c2, max(cut) filter (rate = 'repeats') as c3, max(cut) filter (rate = 'length') as c4
   from p group by lang, source
