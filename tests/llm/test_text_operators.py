@@ -409,7 +409,7 @@ def test_quality(spark):
     clean = "\n".join(" ".join(f"word{i * 12 + j}" for j in range(12)) for i in range(10))
     texts = [None, "", "short", clean, " ".join("spam ham egg".split() * 60), " ".join(f"w{i}###" for i in range(90)), "\n".join(["one line of words here again"] * 12 + [f"v{i} u{i}" for i in range(40)])]
     # thresholds come from the texts around
-    texts += [clean + f" more{i}" for i in range(60)]
+    texts += [clean + f" more{i}" + "\nonce again" * (i % 3) for i in range(60)]
     got = {r.doc_id: r for r in quality_rules.judged(quality_rules.measured(frame(spark, texts))).collect()}
     for i, t in enumerate(texts):
         w = WORD.findall(t or "")
@@ -417,7 +417,8 @@ def test_quality(spark):
         repeat = {k for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for k in range(j, j + 3)}
         lines = [x for x in (t or "").split("\n") if WORD.search(x)]
         assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(repeat))
-    assert [got[i].kept for i in range(7)] == [False, False, False, True, False, False, True] and got[4].base_failed and not got[5].base_failed
+    # words of the last repeat far more than those around, though less than the base rule allows
+    assert [got[i].kept for i in range(7)] == [False, False, False, True, False, False, False] and got[4].base_failed and not got[5].base_failed and not got[6].base_failed
     assert quality_rules.judged(quality_rules.measured(frame(spark, []))).count() == 0
 
 
