@@ -12,6 +12,7 @@ import pytest
 
 from tests.compare import duck_rows, rows_of
 from tierwise.llm import language_id, license_scan, near_dedup, oracle_sql, packing, quality_rules, queries, secret_scan, substring_dedup, token_counts, url_filter
+from tierwise.llm.common import stored
 from tierwise.llm.components import components
 from tierwise.llm.decontamination import Index, alignment, leaks, normalised, without_leaks
 from tierwise.llm.wordhash import Windows, Words, chunks, sliding_min
@@ -467,11 +468,11 @@ def test_quality_of_null_groups_and_repeats(spark):
     """Null languages and sources are groups of their own; repeated rows, long texts and rows without an id are judged alike."""
     rnd = random.Random(2)
     made = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 7))) for _ in range(n))
-    same, long = made(90), made(120_000)
+    same, long = made(90), made(9_000)
     rows = [(1, same, None, None), (1, same, None, None), (None, same, None, "s"), (2, same, "en", None), (3, long, None, None), (4, None, None, None)] + [(10 + i, made(80), None, None) for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     found = quality_rules.judged(quality_rules.measured(docs)).collect()
-    assert len(found) == len(rows) and {r.kept for r in found if r.doc_id != 4} == {True} and {r.n_words for r in found if r.doc_id == 3} == {120_000}
+    assert len(found) == len(rows) and {r.kept for r in found if r.doc_id != 4} == {True} and {r.n_words for r in found if r.doc_id == 3} == {9_000}
     assert [r.kept for r in found if r.doc_id == 4] == [False]
 
 
@@ -482,7 +483,7 @@ def test_quality_cuts_decide_on_real_texts(spark):
     place = "/root/testdata/sf0.01"
     if not os.path.isdir(place):
         pytest.skip("no test data")
-    measured = quality_rules.measured(spark.read.parquet(f"{place}/documents.parquet"))
+    measured = stored(quality_rules.measured(spark.read.parquet(f"{place}/documents.parquet")))
     cuts = quality_rules.thresholds(quality_rules.sketches(measured)).collect()
     assert sum(len({r[f"cut_{k}"] for r in cuts}) > 5 for k in quality_rules.UPPER) >= 3
     good = spark.read.parquet(f"{place}/labels.parquet").where("quality = 1").select("doc_id")
