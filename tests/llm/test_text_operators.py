@@ -406,6 +406,47 @@ def test_license_spans(spark):
     assert sorted((r.doc_id, r.labels, r.n_base) for r in got) == [(1, "", 0), (2, "bsd", 0), (2, "bsd", 0)]
 
 
+def _license_spans(text):
+    """label -> best coverage, by trying every window of diagonals of every chain."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+    out = {}
+    for label, template in license_scan.TEMPLATES:
+        t = template.split()
+        grams = len(t) - 2
+        hits = {}
+        for p in range(len(words) - 2):
+            for at in range(grams):
+                if words[p : p + 3] == t[at : at + 3]:
+                    hits.setdefault(p - at, set()).add(at)
+        chain, before = [], None
+        for d in [*sorted(hits), None]:
+            if d is None or (before is not None and d - before > license_scan.NEAR):
+                for first in chain:
+                    seen = set().union(*(hits[x] for x in chain if first <= x <= first + grams))
+                    if len(seen) / grams >= license_scan.COVERAGE:
+                        out[label] = max(out.get(label, 0), round(len(seen) / grams, 6))
+                chain = []
+            chain.append(d)
+            before = d
+    return out
+
+
+def test_license_spans_beside_stray_grams(spark):
+    """A whole copy counts whatever stands beside it; whole licenses are found with words changed, put in and left out."""
+    rnd = random.Random(8)
+    texts = ["Under CC BY, under CC BY, under CC BY licensed under CC BY 4.0", "licensed under cc by 4 0 under cc by under cc by"]
+    for _, text in license_scan.LICENSES:
+        words = text.split()
+        texts += [text, " ".join(rnd.choice(["x", w, w, w, w, w, w, w, w, w + " y"]) for w in words), " ".join(words[: len(words) // 3]), " ".join(words[10:40] * 4) + " " + text]
+    got = {r.doc_id: r for r in license_scan.scan(frame(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        expected = _license_spans(text)
+        assert set(got[i].labels.split(",")) - {""} == set(expected) | set(got[i].base_labels.split(",")) - {""}, text
+        if not got[i].n_base:
+            assert got[i].score == max(expected.values(), default=0.0)
+    assert got[0].labels == "cc-by" and got[0].score == 1.0 and all(label in got[2 + 4 * k].labels for k, (label, _) in enumerate(license_scan.LICENSES))
+
+
 def test_quality(spark):
     clean = "\n".join(" ".join(f"word{i * 12 + j}" for j in range(12)) for i in range(10))
     texts = [None, "", "short", clean, " ".join("spam ham egg".split() * 60), " ".join(f"w{i}###" for i in range(90)), "\n".join(["one line of words here again"] * 12 + [f"v{i} u{i}" for i in range(40)])]

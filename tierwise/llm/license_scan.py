@@ -2,10 +2,11 @@
 
 All rolling three-word hashes of all texts are joined with the positions of the same hashes in license
 templates (a constant table of a few hundred rows, hence broadcast). A hit votes for its offset diagonal
-(text position less template position); votes are summed for each text, template and diagonal,
-neighbouring diagonals (words put in or left out) are merged into spans, and a span is verified when
-distinct template positions cover enough of the template and its diagonals are no further apart than the
-template is long, so the span is at most twice as long. Grams are compared by 64-bit hashes with a few hundred
+(text position less template position); votes are summed for each text, template and diagonal, and
+neighbouring diagonals (words put in or left out) are merged into chains. A chain may hold much beside a copy, so it is
+verified by windows: from each of its diagonals on, those no further apart than the template is long. A window in which
+distinct template positions cover enough of the template is a span, at most twice as long as the template; the best
+one of a chain counts. Grams of a text that no template has are passed over before rows are made of them. Grams are compared by 64-bit hashes with a few hundred
 constant ones: of 1e12 grams a wrong hit has a probability of about 1e-5.
 
 Phrases (the base rule) are counted besides, at every place where their words stand consecutively; labels of
@@ -17,6 +18,8 @@ scanned like any other; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,35 @@ TEMPLATES = [
     ("proprietary", "all rights reserved no part of this publication may be reproduced"),
 ]
 
+# Notices and licenses as they are usually printed, by label.
+LICENSES = [
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies
+or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the
+above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY
+THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY,
+WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("apache", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,
+either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License
+along with this program. If not, see https://www.gnu.org/licenses/."""),
+    ("mpl", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+https://mozilla.org/MPL/2.0/."""),
+]
+TEMPLATES += [(label, " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()))) for label, text in LICENSES]
+#: Grams of the longest template.
+LONGEST = max(len(text.split()) for _, text in TEMPLATES) - GRAM + 1
+
 
 def template_grams(spark: SparkSession) -> DataFrame:
     """template, label, grams, at, h: the constant side of the join, hashed by the same function as the texts."""
@@ -95,22 +127,30 @@ def _phrase_places(flat: Column) -> Column:
 
 def votes(rows: DataFrame) -> DataFrame:
     """doc_id, tag, template, label, grams, diagonal, at: a row for each hit of a template's gram."""
+    known = template_grams(rows.sparkSession)
+    # a few hundred constants: grams of a text that are none of them make no row
+    wanted = [r.h for r in known.select("h").distinct().collect()]
     words = rows.where(F.col("flat") != "  ").select("doc_id", "tag", _words(F.col("flat")).alias("words"))
-    grams = F.transform(F.slice("words", 1, F.greatest(F.size("words") - (GRAM - 1), F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))
-    rolled = words.select("doc_id", "tag", F.posexplode(grams).alias("place", "h"))
-    return rolled.join(F.broadcast(template_grams(rows.sparkSession)), "h").select("doc_id", "tag", "template", "label", "grams", (F.col("place") - F.col("at")).alias("diagonal"), "at")
+    grams = F.transform(F.slice("words", 1, F.greatest(F.size("words") - (GRAM - 1), F.lit(0))), lambda w, i: F.struct(i.alias("place"), F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h")))
+    rolled = words.select("doc_id", "tag", F.explode(F.filter(grams, lambda x: x["h"].isin(wanted))).alias("x")).select("doc_id", "tag", "x.place", "x.h")
+    return rolled.join(F.broadcast(known), "h").select("doc_id", "tag", "template", "label", "grams", (F.col("place") - F.col("at")).alias("diagonal"), "at")
 
 
 def spans(hits: DataFrame, near: int = NEAR, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, tag, label, template, first (about the first word), coverage of each verified span."""
+    """doc_id, tag, label, template, first (about the first word), coverage of the best verified span of each chain of diagonals."""
     key = ["doc_id", "tag", "template", "label", "grams"]
     diagonals = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("seen"), F.count("*").alias("votes"))
     along = Window.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > near).cast("int"), F.lit(1))
-    merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(along)).groupBy(*key, "span")
-    found = merged.agg(F.min("diagonal").alias("first"), F.max("diagonal").alias("last"), F.array_distinct(F.flatten(F.collect_list("seen"))).alias("seen"))
-    share = F.size("seen") / F.col("grams")
-    return found.withColumn("coverage", share).where((F.col("coverage") >= coverage) & (F.col("last") - F.col("first") <= F.col("grams"))).select("doc_id", "tag", "label", "template", "first", "coverage")
+    chained = diagonals.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(along))
+    # a diagonal with those after it, as far as the longest template reaches; of these, as far as its own one does
+    ahead = Window.partitionBy(*key, "chain").orderBy("diagonal").rangeBetween(0, LONGEST)
+    reach = F.collect_list(F.struct("diagonal", "seen")).over(ahead)
+    last = F.col("diagonal") + F.col("grams")
+    windows = chained.withColumn("reach", reach).withColumn("last", last).withColumn("covered", F.size(F.array_distinct(F.flatten(F.transform(F.filter("reach", lambda x: x["diagonal"] <= F.col("last")), lambda x: x["seen"])))))
+    best = windows.groupBy(*key, "chain").agg(F.max(F.struct("covered", (-F.col("diagonal")).alias("back"))).alias("top"))
+    share = F.col("top.covered") / F.col("grams")
+    return best.select("doc_id", "tag", "label", "template", (-F.col("top.back")).alias("first"), share.alias("coverage")).where(F.col("coverage") >= coverage)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,8 +199,11 @@ with w as (
 ), d as (
   select *, sum(apart) over (partition by doc_id, template order by diagonal range unbounded preceding) as span
   from (select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal) <= 4 then 0 else 1 end as apart from h)
+), dd as (
+  select distinct doc_id, template, label, grams, span, diagonal from d
 ), s as (
-  select doc_id, label, count(distinct pos) / max(grams) as coverage from d group by doc_id, template, label, span having count(distinct pos) / max(grams) >= 0.6 and max(diagonal) - min(diagonal) <= max(grams)
+  select a.doc_id, a.label, count(distinct b.pos) / a.grams as coverage from dd a join d b on b.doc_id = a.doc_id and b.template = a.template and b.span = a.span and b.diagonal between a.diagonal and a.diagonal + a.grams
+  group by a.doc_id, a.template, a.label, a.grams, a.span, a.diagonal having count(distinct b.pos) / a.grams >= 0.6
 ), ss as (
   select doc_id, list(distinct label) as ls, max(coverage) as coverage from s group by doc_id
 )
