@@ -567,6 +567,48 @@ def test_url_evidence_of_siblings_and_deep_branches(spark):
     assert verdicts("d.com", "/bad/") == {"block"} and verdicts("d.com", "/good/") == {"allow"} and verdicts("d.com", "/other/") == {"allow"}
 
 
+def _generalised(templates):
+    """Trees by walking every level of every branch."""
+    tree = {t: list(t) for t in templates}
+    for level in range(max(map(len, templates))):
+        kids = {}
+        for t, n in templates.items():
+            if len(tree[t]) > level and tree[t][level] != "*":
+                kids.setdefault(tuple(tree[t][:level]), {}).setdefault(tree[t][level], []).append(n)
+        for t in templates:
+            found = kids.get(tuple(tree[t][:level]), {})
+            if len(tree[t]) > level and len(found) >= url_filter.CHILDREN and sum(map(sum, found.values())) <= url_filter.PAGES_EACH * len(found):
+                tree[t][level] = "*"
+    return {t: tuple(x) for t, x in tree.items()}
+
+
+def test_url_trees_of_any_depth(spark):
+    rnd = random.Random(4)
+    own = {}
+    for _ in range(300):
+        own[tuple(rnd.choice(["a", "b", f"v{rnd.randrange(40)}"]) for _ in range(rnd.randint(0, 5)))] = rnd.randint(1, 4)
+    deep = tuple(f"s{i}" for i in range(1000))
+    own |= {(*deep, f"x{i}", "end"): 1 for i in range(9)} | {(*deep[:500], f"y{i}"): 1 for i in range(7)} | {(*(f"t{i}" for i in range(1000)),): 5}
+    rows = spark.createDataFrame([("h", list(t), n) for t, n in own.items()], "host string, own array<string>, pages bigint")
+    scratch = []
+    got = {tuple(r.own): tuple(r.tree) for r in url_filter.generalised(rows, scratch=scratch).collect()}
+    assert got == _generalised(own)
+    # as many rounds as branchings are nested, not as paths are deep
+    assert len(scratch) < 12
+    assert got[(*deep, "x1", "end")][1000:] == ("*", "end")
+
+
+def test_url_of_many_segments_and_undecided_siblings(spark):
+    urls = ["http://n.com/" + "/".join(f"s{i}" for i in range(1000))] * 2
+    urls += [f"http://few.net/{x}/{i}" for x in ("es", "fr", "en") for i in range(10)] + [f"http://many.net/{x}/{i}" for x in ("es", "fr", *("en", "de", "it", "pl")) for i in range(10)]
+    rows = spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, template string")
+    found = url_filter.filtered(rows).collect()
+    assert len(found) == len(urls) and [r.verdict for r in found if r.host == "n.com"] == ["allow", "allow"]
+    # blocked siblings speak for the rest only if the rest is not most of the host
+    assert {r.verdict for r in found if "few" in r.host} == {"block"}
+    assert {r.verdict for r in found if "many" in r.host and r.rule is None} == {"allow"}
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_duckdb(spark, data, name):
     assert rows_of(queries()[name](spark, data)) == duck_rows(oracle_sql()[name], data)
