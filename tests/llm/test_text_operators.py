@@ -385,6 +385,38 @@ def test_filter_loses_no_region():
         assert any(c[1] == s and alignment(index.text[s], data.tobytes()[c[2] : c[3]], index.edits[s]) for c in index.candidates(data, offs))
 
 
+@pytest.mark.parametrize("piece, region", [(1_000_000, 4096), (40, 64), (500, 200)])
+def test_regions_do_not_depend_on_pieces(monkeypatch, piece, region):
+    """The same places are found whatever the size of pieces and regions, in texts that repeat a passage and in several texts at once."""
+    from tierwise.llm import decontamination as module
+
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 3)))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(8)] + [(8, "ab " * 60), (9, "abab " * 30)]
+    index = Index(items)
+    texts = [" ".join([items[i % 8][1], *(word() for _ in range(40)), items[i % 8][1][:70]] * 3) for i in range(6)] + ["ab " * 300, "x " * 50 + "abab " * 100, "", "ab"]
+    flat = b"".join(t.encode() for t in texts)
+    data, offs = normalised(np.frombuffer(flat, np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)]))
+    raw = data.tobytes()
+    found = lambda: {(d, s): alignment(index.text[s], raw[offs[d] : offs[d + 1]], index.edits[s])[0] for d, s, a, b in index.candidates(data, offs) if alignment(index.text[s], raw[a:b], index.edits[s])}
+    usual = found()
+    monkeypatch.setattr(module, "PIECE", piece)
+    monkeypatch.setattr(module, "REGION", region)
+    assert found() == usual
+    # every segment that a text holds whole is found
+    assert {(d, s) for d in range(len(texts)) for s, part in enumerate(index.text) if part in raw[offs[d] : offs[d + 1]]} <= set(usual)
+
+
+def test_leaks_in_repetitive_texts(spark):
+    """A text of a megabyte and an item that repeat three grams over and over, and repeated rows."""
+    rows = [(1, "ab " * 350_000), (2, "ab " * 100 + "cd " * 100), (2, "ab " * 100 + "cd " * 100), (3, "xy " * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "ab " * 500), (1, "ab " * 500)], "item_id long, text string")
+    found = sorted((r.doc_id, r.item_id, r.edits) for r in leaks(docs, benchmark).collect())
+    assert found == [(1, 1, 0), (2, 1, 0), (2, 1, 0)]
+    assert [r.doc_id for r in without_leaks(docs, benchmark).collect()] == [3]
+
+
 def test_licenses(spark):
     texts = [None, "", "MIT License", "the mit-license and Apache License, general public\nlicense mit license", "xmit license", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.", "Permission is hereby granted, free of charge, to any person obtaining some copy of this software and associated documentation files (the Software), to deal in it"]
     got = {r.doc_id: r for r in license_scan.scan(frame(spark, texts)).collect()}

@@ -7,10 +7,14 @@ diagonals (text position less segment position) at most 2k apart. So:
 
 1. q-grams of a text that no item has are passed over by a bitmap; so are stretches with too few others.
 2. The rest vote for overlapping diagonal bands of each segment; bands below the lemma's count are dropped.
-3. What remains is verified by a banded alignment that may begin and end anywhere in the region.
+3. What remains, neighbouring bands as one region, is verified by a banded alignment that may begin and end anywhere in the region.
 
-The index goes to the executors in blocks of at most ``BLOCK`` items, a pass over the texts each, so what is sent
-does not grow with the benchmark; one block is the usual case.
+Equal segments are one in the index. Votes are counted in pieces of about ``PIECE``, which overlap by what votes for a band, and
+regions are aligned in parts of ``REGION`` bytes, which overlap likewise; so texts and items that repeat a few grams over and over
+take time in proportion to their length, and bounded memory.
+
+The index goes to the executors in blocks of about ``BLOCK`` items or ``BLOCK_BYTES`` bytes of them, a pass over the texts each, so what is
+sent does not grow with the benchmark; one block is the usual case.
 
 Defined results: a null or empty text or item matches nothing; items of fewer than ``q`` bytes are no evidence and
 never match; repeated items and rows are each reported; an empty table on either side gives an empty result; other
@@ -30,7 +34,10 @@ from tierwise.llm.common import map_arrow, schema_of, table, text_rows
 from tierwise.llm.wordhash import chunks
 
 Q, SEGMENT, STRIDE, BUDGET = 8, 64, 32, 0.06
-BLOCK = 20_000
+#: Items, and bytes of items, that go to the executors at a time.
+BLOCK, BLOCK_BYTES = 20_000, 16 * 2**20
+#: Votes that are counted at a time, and bytes of a region that are aligned at a time.
+PIECE, REGION = 1_000_000, 4096
 _BITS = 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -68,7 +75,10 @@ class Index:
     """Segments of a block of items with their q-grams."""
 
     def __init__(self, items: list[tuple]):
-        self.item, self.start, self.text, self.edits, self.least = [], [], [], [], []
+        # equal segments are one, with all the places where items have it
+        known: dict[bytes, int] = {}
+        self.owners: list[list[tuple]] = []
+        self.text, self.edits, self.least = [], [], []
         for item_id, text in items:
             data = np.frombuffer((text or "").encode(), np.uint8)
             whole = normalised(data, np.array([0, len(data)]))[0].tobytes().rstrip()
@@ -78,9 +88,12 @@ class Index:
                 grams = len(part) - Q + 1
                 if grams < 1:
                     continue
+                if part in known:
+                    self.owners[known[part]].append((item_id, a))
+                    continue
                 k = min(int(BUDGET * len(part)), (grams - 1) // Q)
-                self.item.append(item_id)
-                self.start.append(a)
+                known[part] = len(self.text)
+                self.owners.append([(item_id, a)])
                 self.text.append(part)
                 self.edits.append(k)
                 self.least.append(grams - k * Q)
@@ -119,32 +132,44 @@ class Index:
         if not len(hits):
             return
         width = 2 * (2 * self.reach + 1)
-        # votes in pieces of bounded size: a gram may stand in many segments
+        half = width // 2
+        # votes in pieces of bounded size: a gram may stand in many segments, and many times in a text. What votes for one band lies
+        # within ``span`` bytes, so a piece also reads the hits that far after its own ones, and a band counts in the piece of its first byte
+        span = SEGMENT + 2 * width + Q
         times = self.first[at + 1] - self.first[at]
         ends = np.cumsum(times)
-        votes: dict[tuple[int, int, int], int] = {}
+        parts: list[np.ndarray] = []
         begin = 0
         while begin < len(hits):
             base = ends[begin - 1] if begin else 0
-            stop = max(begin + 1, int(np.searchsorted(ends, base + 2_000_000, "right")))
-            # a text's votes stay together
-            stop = int(np.searchsorted(text, text[stop - 1], "right"))
-            n = times[begin:stop]
-            entry = np.repeat(self.first[at[begin:stop]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            stop = max(begin + 32, int(np.searchsorted(ends, base + PIECE, "right")))
+            core = (hits[begin] if begin else -span, hits[stop] if stop < len(hits) else hits[-1] + span)
+            high = int(np.searchsorted(hits, core[1] + span, "right"))
+            n = times[begin:high]
+            entry = np.repeat(self.first[at[begin:high]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             segment = self.segment[entry]
-            diagonal = np.repeat(hits[begin:stop], n) - self.place[entry] + SEGMENT
-            doc = np.repeat(text[begin:stop], n)
+            diagonal = np.repeat(hits[begin:high], n) - self.place[entry] + SEGMENT
+            doc = np.repeat(text[begin:high], n)
+            bands = (int(offs[-1]) + SEGMENT + width) // width + 2
             for turn in (0, 1):
-                band = (diagonal + turn * (width // 2)) // width
-                name = np.stack([doc, segment, band], axis=1)
-                found, count = np.unique(name, axis=0, return_counts=True)
-                for (d, s, b), c in zip(found[count >= self.least[found[:, 1]]].tolist(), count[count >= self.least[found[:, 1]]].tolist(), strict=True):
-                    low = b * width - turn * (width // 2) - SEGMENT
-                    votes[d, s, low] = c
+                band = (diagonal + turn * half) // width
+                name, count = np.unique((doc * len(self.text) + segment) * bands + band, return_counts=True)
+                d, s = np.divmod(name // bands, len(self.text))
+                first = (name % bands) * width - turn * half - SEGMENT
+                kept = (count >= self.least[s]) & (first >= core[0]) & (first < core[1])
+                parts.append(np.stack([d[kept], s[kept], first[kept]]))
             begin = stop
-        for d, s, low in votes:
-            first = max(int(offs[d]), low - self.edits[s])
-            yield d, s, first, min(int(offs[d + 1]), low + width + len(self.text[s]) + self.edits[s])
+        d, s, first = np.concatenate(parts, axis=1)
+        order = np.lexsort((first, s, d))
+        d, s, first = d[order], s[order], first[order]
+        # neighbouring bands of a segment are one region, of REGION bytes at most
+        edge = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (s[1:] != s[:-1]) | (first[1:] - first[:-1] > half))))
+        for a, b in zip(edge.tolist(), np.append(edge[1:], len(d)).tolist(), strict=True):
+            while a < b:
+                end = min(b, a + int(np.searchsorted(first[a:b], first[a] + REGION, "right")))
+                k = self.edits[s[a]]
+                yield int(d[a]), int(s[a]), max(int(offs[d[a]]), int(first[a]) - k), min(int(offs[d[a] + 1]), int(first[end - 1]) + width + len(self.text[s[a]]) + k)
+                a = end
 
 
 def alignment(segment: bytes, region: bytes, k: int) -> tuple[int, int] | None:
@@ -175,11 +200,17 @@ def alignment(segment: bytes, region: bytes, k: int) -> tuple[int, int] | None:
     return int(row[o]), min(len(region), len(s) + o - k)
 
 
+def _blocks(items: DataFrame) -> int:
+    """Blocks of about BLOCK items or BLOCK_BYTES, whichever are more."""
+    n, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()
+    return max(1, -(-n // BLOCK), -(-size // BLOCK_BYTES))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_segments, edits, first, last (bytes of the normalised text) of each item found in each row."""
     rows = text_rows(docs, id_col, text_col)
     items = benchmark.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null")
-    blocks = max(1, -(-items.count() // BLOCK))
+    blocks = _blocks(items)
     marked = items.withColumn("block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)))
     found = [_pass(rows, Index([(r.item_id, r.item_text) for r in marked.where(F.col("block") == i).sort("item_id", "item_text").collect()]), items.schema["item_id"]) for i in range(blocks)]
     return reduce(DataFrame.unionByName, found)
@@ -199,9 +230,10 @@ def _pass(rows: DataFrame, index: Index, item_field) -> DataFrame:
                     edits, end = found
                     last = a + end - int(offs[d])
                     begin = max(0, last - len(index.text[s]))
-                    have = best.setdefault((d, index.item[s]), [set(), edits, begin, last])
-                    have[0].add(s)
-                    have[1], have[2], have[3] = min(have[1], edits), min(have[2], begin), max(have[3], last)
+                    for item, start in index.owners[s]:
+                        have = best.setdefault((d, item), [set(), edits, begin, last])
+                        have[0].add(start)
+                        have[1], have[2], have[3] = min(have[1], edits), min(have[2], begin), max(have[3], last)
             if best:
                 at = pa.array([first + d for d, _ in best], pa.int64())
                 columns = [[len(x[0]) for x in best.values()], *([x[i] for x in best.values()] for i in (1, 2, 3))]
@@ -214,7 +246,7 @@ def _pass(rows: DataFrame, index: Index, item_field) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, in whose text no item is found."""
     items = benchmark.select(F.col(item_text_col).cast("string").alias("item_text")).where("item_text is not null").distinct()
-    blocks = max(1, -(-items.count() // BLOCK))
+    blocks = _blocks(items)
     marked = items.withColumn("block", F.pmod(F.xxhash64("item_text"), F.lit(blocks)))
     out = docs
     for i in range(blocks):
