@@ -50,7 +50,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets in their texts replaced by a mark."""
-    return secret_scan.redacted(docs, secret_scan.train())
+    return secret_scan.redacted(docs, secret_scan.train(known=secret_scan.dictionary(docs)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
