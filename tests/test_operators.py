@@ -353,3 +353,33 @@ def test_files(spark, tmp_path):
     io.stage(public, f"{tmp_path}/pub", "card", {"rebuild": "how"})
     assert not (tmp_path / "pub/rebuild").exists()
     assert [r.value for r in spark.read.text(f"{tmp_path}/pub/splits/split=train").collect()] == ["a", "b"]
+
+
+def test_pinned_prompts(spark, tmp_path):
+    """Positions count rows over files; a scan goes on from a position; another revision or none is an error."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tierwise.sources import prompts
+
+    path = str(tmp_path / "prompts")
+    for i, n in enumerate([2500, 0, 700]):
+        (tmp_path / "prompts").mkdir(exist_ok=True)
+        rows = {"id": pa.array(range(i * 10_000, i * 10_000 + n), pa.int64()), "q": pa.array([None if j % 97 == 5 else f"{i}:{j}" for j in range(n)], pa.string()), "pos": pa.array([-1] * n, pa.int64())}
+        pq.write_table(pa.table(rows), f"{path}/part-{i}.parquet", row_group_size=1000)
+    spark.dataSource.register(prompts.PinnedPrompts)
+    now = prompts.revision(path)
+    load = lambda **o: spark.read.format("pinned_prompts").options(path=path, key="id", text="q", **o).load()
+    every = sorted((r.pos, r.key, r.text, r.domain) for r in load(revision=now).collect())
+    keys = [*range(2500), *range(20_000, 20_700)]
+    assert every == [(i, k, None if k % 10_000 % 97 == 5 else f"{k // 10_000}:{k % 10_000}", None) for i, k in enumerate(keys)]
+    for start in (999, 1000, 2499, 2500, 3199, 3200, 9999):
+        assert sorted(r.pos for r in load(revision=now, start=start).collect()) == list(range(start, 3200))
+    assert [p.first for p in prompts.PromptReader({"path": path, "revision": now, "start": "2100"}).partitions()] == [2000, 2500]
+    pq.write_table(pa.table({"id": pa.array([1], pa.int64()), "q": ["new"]}), f"{path}/part-9.parquet")
+    assert prompts.revision(path) != now
+    for wrong in ({"revision": now}, {}):
+        with pytest.raises(Exception, match="revision"):
+            load(**wrong).collect()
+    with pytest.raises(FileNotFoundError):
+        prompts.revision(f"{path}/absent")

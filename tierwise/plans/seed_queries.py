@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tierwise.functions import exprs as X
 from tierwise.operators import seed
 from tierwise.registry import query
+from tierwise.sources import prompts
 from tierwise.sources.views import oracle, table, view
 
 LIMIT = 200
@@ -14,16 +15,16 @@ _NORM = r"replace(replace(lower(trim(regexp_replace({}, '[\s\x1c-\x1f\p{{Z}}\x85
 _STRIP = r"regexp_replace({}, '^[\s\x1c-\x1f\p{{Z}}\x85]+|[\s\x1c-\x1f\p{{Z}}\x85]+$', '', 'g')"
 
 
-@query(
-    "seed_prompts",
-    oracle(f"""with u as (
+_SEED = oracle(f"""with u as (
   select 'conversations' as source, 0 as ordinal, conv_id as pos, p as text from (select conv_id, arg_min(text, turn) filter (role = 'user') as p from conversations group by conv_id) where length(p) > 0
   union all select 'documents', 1, doc_id, text from documents union all select 'benchmark', 2, item_id, text from benchmark
 ), t as (select *, row_number() over (partition by source order by pos) as turn from u),
 s as (select *, {_STRIP.format("text")} as prompt from t),
 f as (select *, row_number() over (partition by {_NORM.format("prompt")} order by turn, ordinal) as rn from s where length(prompt) between 1 and 1500)
-select sha256(prompt) as query_id, prompt, source, length(prompt) // 4 as token_estimate, turn, ordinal from f where rn = 1 order by turn, ordinal limit {LIMIT}"""),
-)
+select sha256(prompt) as query_id, prompt, source, length(prompt) // 4 as token_estimate, turn, ordinal from f where rn = 1 order by turn, ordinal limit {LIMIT}""")
+
+
+@query("seed_prompts", _SEED)
 def seed_prompts(spark, sf_dir):
     registry = {
         "conversations": lambda: seed.first_user_turn(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("pos"), F.col("prompt").alias("text"), F.lit(None).cast("string").alias("domain")),
@@ -34,6 +35,25 @@ def seed_prompts(spark, sf_dir):
     return seed.seed_prompts(every, LIMIT).select("query_id", "prompt", "source", "token_estimate", F.col("turn").cast("long").alias("turn"), "ordinal")
 
 
+@query("seed_prompts_pinned", _SEED)
+def seed_prompts_pinned(spark, sf_dir):
+    """The same prompts, with documents and benchmark read from a source at a pinned revision."""
+    spark.dataSource.register(prompts.PinnedPrompts)
+
+    def pinned(name, **columns):
+        path = f"{sf_dir}/{name}.parquet"
+        rows = spark.read.format("pinned_prompts").options(path=path, revision=prompts.revision(path), **columns).load()
+        return rows.select(F.col("key").alias("pos"), "text", "domain")
+
+    registry = {
+        "conversations": lambda: seed.first_user_turn(table(spark, sf_dir, "conversations")).select(F.col("conv_id").alias("pos"), F.col("prompt").alias("text"), F.lit(None).cast("string").alias("domain")),
+        "documents": lambda: pinned("documents", key="doc_id", domain="lang"),
+        "benchmark": lambda: pinned("benchmark", key="item_id"),
+    }
+    every = seed.interleave(seed.sources_of(registry, ["conversations", "documents", "benchmark"]))
+    return seed.seed_prompts(every, LIMIT).select("query_id", "prompt", "source", "token_estimate", F.col("turn").cast("long").alias("turn"), "ordinal")
+
+
 @query("first_user_turn", "select conv_id, arg_min(text, turn) filter (role = 'user') as prompt from conversations group by conv_id having length(arg_min(text, turn) filter (role = 'user')) > 0")
 def first_user_turn(spark, sf_dir):
     return seed.first_user_turn(table(spark, sf_dir, "conversations"))
