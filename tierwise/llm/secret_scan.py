@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwise.llm.common import map_arrow, schema_of, table, text_rows
+from tierwise.llm.common import discard, map_arrow, schema_of, stored, table, text_rows
 
 SHORTEST, ASSIGNED_LEAST = 12, 8
 MOST_WORDS, WORD_LEAST, WORD_MOST = 20_000, 4, 12
@@ -109,8 +109,19 @@ def dictionary(docs: DataFrame, text_col: str = "text", most: int = MOST_WORDS)
                 counts.update(w for w in alone if WORD_LEAST <= len(w) <= WORD_MOST and w.isascii() and w.isalpha())
         return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
-    counts = map_arrow(docs.select(F.col(text_col).alias("text")), run, schema).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
-    return Dictionary({r.word: r.n for r in counts.orderBy(F.desc("n"), "word").limit(most).collect()})
+    scratch: list[str] = []
+    counts = stored(map_arrow(docs.select(F.col(text_col).alias("text")), run, schema).groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), scratch)
+    # an eighth of a doubling of n is a bin: at most 504 of them tell which words can be among the first, so that no more are sorted
+    level = F.floor(F.log2("n") * 8).cast("int")
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    lowest, taken = 0, 0
+    for lowest, words in bins:
+        taken += words
+        if taken >= most:
+            break
+    found = {r.word: r.n for r in counts.where(level >= lowest).orderBy(F.desc("n"), "word").limit(most).collect()}
+    discard(docs.sparkSession, scratch)
+    return Dictionary(found)
 
 
 def assigned(before: str) -> bool:
