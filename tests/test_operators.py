@@ -99,6 +99,15 @@ def test_softmax_and_argmax(spark):
     assert spark.range(1).select(X.argmax(F.array(F.lit(1.0), F.lit(1.0)))).first()[0] == 0
 
 
+def test_casefold(spark):
+    """Every letter with a case, alone, between others and at the end of a word."""
+    letters = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and (c.casefold() != c or c.lower() != c or c.upper() != c)]
+    texts = [t for c in letters for t in (c, f"aI{c}ıΣ {c}", f"x{c}")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("t", X.casefold(F.col("t")).alias("f")).collect()
+    assert [r.t for r in rows if r.f != r.t.casefold()] == [] and len(letters) > 2500
+    assert spark.range(1).select(X.casefold(F.lit(None).cast("string"))).first()[0] is None
+
+
 def test_text_functions(spark):
     rows = spark.createDataFrame([("  A  b\x1cSTRASSE ß\n",), ("",)], "t string").select(X.normalize(F.col("t")), X.strip(F.col("t"))).collect()
     assert rows[0][0] == "a b strasse ss" and rows[0][1] == "A  b\x1cSTRASSE ß" and rows[1][0] == ""

@@ -17,9 +17,26 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
+#: The letters whose folded form is the capital one (Cherokee), small and capital in the same order.
+_SMALL_CHEROKEE = "".join(map(chr, [*range(0xAB70, 0xABC0), *range(0x13F8, 0x13FE)]))
+_LARGE_CHEROKEE = "".join(map(chr, range(0x13A0, 0x13F6)))
+
+
+def casefold(text: Column) -> Column:
+    """Full case folding: ligatures, sharp s, final sigma and Greek letters with an iota below as their folded sequences.
+
+    Capital letters made small again are the folded form, but for the capital sharp s, which has no other capital, the dotless i, which
+    stays as it is, and Cherokee, which is folded to capitals. The capital sigma is made small by itself, as its
+    small form depends on its place in a word; without a step between them the optimizer would also leave out the capitals.
+    """
+    fold = lambda x: F.lower(F.replace(F.upper(F.replace(x, F.lit("\u1e9e"), F.lit("ss"))), F.lit("Σ"), F.lit("σ")))
+    kept = F.when(F.instr(text, "ı") > 0, F.array_join(F.transform(F.split(text, "ı"), fold), "ı")).otherwise(fold(text))
+    return F.translate(kept, _SMALL_CHEROKEE, _LARGE_CHEROKEE)
+
+
 def normalize(text: Column) -> Column:
-    """One space for each run of white space, stripped, folded to lower case (sharp s and final sigma included)."""
-    return F.replace(F.replace(F.lower(F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """One space for each run of white space, stripped, case-folded."""
+    return casefold(F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " ")))
 
 
 def query_id(prompt: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tierwise.operators.labels import known_sufficient
 from tierwise.operators.ranking import running_sums
+from tierwise.sources.io import written
 from tierwise.tiers import FRONTIER, TIERS
 
 ABOVE_ONE = 1.0000000000000002
@@ -61,21 +62,22 @@ def _outcome(sums: DataFrame) -> DataFrame:
 def sweep(queries: DataFrame, taus: DataFrame | None = None) -> DataFrame:
     """The outcome at each tau, in one pass: a query changes its tier once, at the first tau above its confidence.
 
-    The changes are summed for each confidence and added up along the thresholds; queries never meet thresholds.
+    The changes are summed for each confidence, in the one pass over queries, and written: the thresholds, the sums over all
+    queries and the three readings of running_sums() start there. Queries never meet thresholds.
     """
-    taus = candidate_taus(queries) if taus is None else taus
     low, high = F.col("predicted"), F.least(F.col("predicted") + 1, F.lit(FRONTIER))
     good = lambda r: F.coalesce(_at("ok", r), F.lit(False)).cast("long")
     unknown = lambda r: _at("ok", r).isNull().cast("long")
     each = queries.select(
-        "confidence", (F.col("predicted") < FRONTIER).cast("long").alias("d_up"), (_at("cost", high) - _at("cost", low)).alias("d_usd"),
-        (good(high) - good(low)).alias("d_good"), (unknown(high) - unknown(low)).alias("d_unknown"), _at("cost", low).alias("usd"), F.col("cost2").alias("front"), good(low).alias("good"), unknown(low).alias("unknown"),
+        F.col("confidence").alias("tau"), (F.col("predicted") < FRONTIER).cast("long").alias("d_up"), (_at("cost", high) - _at("cost", low)).alias("d_usd"),
+        (good(high) - good(low)).alias("d_good"), (unknown(high) - unknown(low)).alias("d_unknown"), _at("cost", low).alias("b_usd"), F.col("cost2").alias("frontier_usd"), good(low).alias("b_good"), unknown(low).alias("b_unknown"),
     )
-    base = each.agg(F.count("*").alias("n"), F.sum("usd").alias("b_usd"), F.sum("front").alias("frontier_usd"), F.sum("good").alias("b_good"), F.sum("unknown").alias("b_unknown"))
-    steps = ["d_up", "d_usd", "d_good", "d_unknown"]
-    changes = each.groupBy(F.col("confidence").alias("tau")).agg(*(F.sum(x).alias(x) for x in steps), F.lit(0).alias("wanted"))
+    steps, totals = ["d_up", "d_usd", "d_good", "d_unknown"], ["b_usd", "frontier_usd", "b_good", "b_unknown"]
+    points = written(each.groupBy("tau").agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in [*steps, *totals])))
+    base = points.agg(*(F.sum(x).alias(x) for x in ["n", *totals]))
+    taus = candidate_taus(points.withColumnRenamed("tau", "confidence")) if taus is None else taus
     marks = taus.select("tau", *(F.lit(0).cast("double" if x == "d_usd" else "long").alias(x) for x in steps), F.lit(1).alias("wanted"))
-    along = changes.unionByName(marks).groupBy("tau").agg(*(F.sum(x).alias(x) for x in steps), F.max("wanted").alias("wanted"))
+    along = points.select("tau", *steps, F.lit(0).alias("wanted")).unionByName(marks).groupBy("tau").agg(*(F.sum(x).alias(x) for x in steps), F.max("wanted").alias("wanted"))
     run = running_sums(along, "tau", steps, before=True).where("wanted = 1").crossJoin(F.broadcast(base))
     return _outcome(run.select("tau", "n", F.col("running_d_up").alias("escalated"), (F.col("b_usd") + F.col("running_d_usd")).alias("total_usd"), "frontier_usd", (F.col("b_good") + F.col("running_d_good")).alias("good"), (F.col("b_unknown") + F.col("running_d_unknown")).alias("unknown_quality")))
 

@@ -36,6 +36,13 @@ def shared_place(spark: SparkSession) -> str:
     return f"{base}/tierwise-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """rows as a table in a new shared folder, read again: what several passes read is worked out once, and lineage ends there."""
+    place = shared_place(rows.sparkSession)
+    rows.write.option("compression", "zstd").parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 def schema(name: str) -> StructType:
     return StructType.fromDDL(SCHEMAS[name])
 
