@@ -678,6 +678,82 @@ def test_url_of_many_segments_and_undecided_siblings(spark):
     assert {r.verdict for r in found if "many" in r.host and r.rule is None} == {"allow"}
 
 
+def brute_verdicts(urls, rules):
+    """Verdicts and templates of all urls, by walking plain dictionaries of branches."""
+    U = url_filter
+    rows = []
+    for url in urls:
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+        fits = [(len(h + p), v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        own = tuple("*" if re.search(r"[0-9]", x) or re.fullmatch(r"[0-9a-fA-F]{16,}", x) else x for x in path.split("/") if x)
+        rows.append((host, own, max(fits)[1] if fits else None))
+    out = {}
+    for host in {r[0] for r in rows}:
+        tree = _generalised(Counter(own for h, own, _ in rows if h == host))
+        sums = {}
+        for h, own, decided in rows:
+            if h == host:
+                for level in range(len(tree[own]) + 1):
+                    sums.setdefault(tree[own][:level], Counter())[decided] += 1
+        leaves = {}
+        for h, own, decided in rows:
+            if h == host:
+                leaves.setdefault(tree[own], Counter())[decided] += 1
+        marked = lambda c: c["block"] + c["allow"]
+        wild, alike = {}, set()
+        for parent in sums:
+            kids = {b: c for b, c in sums.items() if b and b[:-1] == parent}
+            known = {b: c for b, c in kids.items() if marked(c) >= U.LABELLED}
+            if known:
+                share = (sum(c["block"] for c in known.values()) + U.PRIOR / 2) / (sum(map(marked, known.values())) + U.PRIOR)
+                same = {b: c for b, c in known.items() if abs(c["block"] / marked(c) - share) <= U.Z * (share * (1 - share) / marked(c)) ** 0.5}
+                if len(same) > 1:
+                    free = sum(U.UNDECIDED * c[None] for c in kids.values() if not marked(c))
+                    wild[parent] = (sum(c["block"] for c in same.values()), sum(map(marked, same.values())) + free)
+                    alike |= set(same)
+        for own, t in tree.items():
+            share, n, deepest = 0.5, -1.0, None
+            for level in range(len(t) + 1):
+                steps = [(sums[t[:level]]["block"], marked(sums[t[:level]]))] if marked(sums[t[:level]]) else []
+                if level and t[: level - 1] in wild:
+                    steps, deepest = [wild[t[: level - 1]], *steps], level
+                for bad, more in steps:
+                    if more != n:
+                        share, n = (bad + U.PRIOR * share) / (more + U.PRIOR), more
+            known = marked(leaves[t]) >= U.LABELLED
+            template = (*t[: deepest - 1], "*") if deepest and (t in alike or not known) else t
+            out[host, own] = ("block" if (known or deepest) and share >= U.PURITY else "allow", "/" + "/".join(template))
+    return [(decided or out[h, own][0], out[h, own][1]) for h, own, decided in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_url_verdicts_by_brute_force(spark, seed):
+    """Hosts with labelled branches that are alike, differ, or lack labels, at several levels; repeated pages, nulls, ties."""
+    rnd = random.Random(seed)
+    urls = [None, "", "no scheme", "x://", "http://only.net", "http://only.net/es/"]
+    for host in [f"h{i}.{top}" for i in range(12) for top in ("net", "com", "org")]:
+        names = rnd.sample(["es", "fr", "en", "de", "ads", "news", "shop", "forum"], rnd.randint(2, 6))
+        for _ in range(rnd.randint(10, 60)):
+            path = [rnd.choice(names), rnd.choice(["a", "b", f"{rnd.randrange(9)}x", f"v{chr(97 + rnd.randrange(26))}{chr(97 + rnd.randrange(26))}"]), *rnd.choices(["p", "q"], k=rnd.randint(0, 2))]
+            urls.append(f"http://{host.upper() if rnd.random() < 0.1 else host}/{'/'.join(path[: rnd.randint(0, 4)])}{rnd.choice(['', '?k=1', '#f'])}")
+    rules = [*url_filter.RULES, ("org", "/ads/", "block"), ("org", "/shop/a", "block"), ("org", "/news/", "allow"), ("h3.org", "/", "allow"), ("com", "/ads/", "block"), ("net", "/ads/", "block")]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.template) for r in url_filter.filtered(rows, rules=rules).collect()}
+    expected = brute_verdicts(urls, rules)
+    assert [got[i] for i in range(len(urls))] == expected
+    undecided = Counter(v for (v, _), u in zip(expected, urls, strict=True) if u and not any(x in u.lower() for x in (".com", "/ads/", "/es/", "/fr/", "/news/", "/shop/a", "h3.org")))
+    assert undecided["block"] > 5 and undecided["allow"] > 50
+
+
+def test_url_verdicts_of_all_pages_by_brute_force(spark, data):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url").collect()}
+    got = {r.page_id: r.verdict for r in queries()["op9_url_filter"](spark, data).collect()}
+    assert [got[i] for i in urls] == [v for v, _ in brute_verdicts(urls.values(), url_filter.RULES)]
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_duckdb(spark, data, name):
     assert rows_of(queries()[name](spark, data)) == duck_rows(oracle_sql()[name], data)
