@@ -392,3 +392,53 @@ def test_pinned_prompts(spark, tmp_path):
             load(**wrong).collect()
     with pytest.raises(FileNotFoundError):
         prompts.revision(f"{path}/absent")
+
+
+def test_retries(spark):
+    rows = spark.createDataFrame([(1, "p", None), (2, "p", "no"), (3, "p", '{"verdict": "worse"}'), (4, "p", '{"verdict": "worse", "reason": "x"}'), (5, None, "no"), (6, "p", "{" + "x" * 3000)], "id int, prompt string, reply string")
+    found = {r.id: r.retry for r in judging.retries(rows).collect()}
+    assert set(found) == {1, 2, 3, 5, 6} and found[5] is None
+    assert judging.PROBLEMS[0] in found[1] and judging.PROBLEMS[0] in found[2] and judging.PROBLEMS[1] in found[3] and "x" * 1999 in found[6] and "x" * 2000 not in found[6]
+    assert judging.retries(rows.limit(0)).columns == ["id", "prompt", "reply", "retry"]
+
+
+def test_bundles_of_logits(spark, tmp_path):
+    of = {"t": ["z0", "z1"], "u": ["a"]}
+    rows = spark.createDataFrame([(1, "test", 0.1, 2.0, None), (2, "train", 1.0, -1.0, 3.0)], "query_id int, split string, z0 double, z1 double, a double")
+    io.export_logits(calibration.bundle(rows, of, "s"), str(tmp_path / "b"))
+    held = spark.read.parquet(str(tmp_path / "b"))
+    got = calibration.unbundled(held, of, "s").orderBy("query_id").collect()
+    assert got[0].z0 == pytest.approx(0.1, abs=1e-7) and got[0].a is None and (got[1].z1, got[1].a) == (-1.0, 3.0)
+    for bad, sha in ((held, "other"), (held.limit(0), "s"), (held.withColumn("u", F.array()), "s"), (held.withColumn("t", F.lit(None).cast("array<float>")), "s"), (held.withColumn("checkpoint_config_sha256", F.lit(None).cast("string")), "s")):
+        with pytest.raises(ValueError, match="another checkpoint or shape"):
+            calibration.unbundled(bad, of, sha)
+
+
+def test_rates_of_all_tiers(spark):
+    runs = spark.createDataFrame([("a", None), ("b", None), ("c", "E: x")], "tier string, error string")
+    rates = spark.createDataFrame([("a", 1.0)], "tier string, prompt_rate double")
+    with pytest.raises(ValueError, match=r"no rates for \['b'\]"):
+        routing.check_rates(runs, rates)
+    assert routing.check_rates(runs.where("tier <> 'b'"), rates) is rates
+
+
+def test_synthetic_examples(spark):
+    from tierwise.operators import training
+
+    rows = training.synthetic_examples(spark, 400, 3)
+    got = rows.collect()
+    assert len({r.query_id for r in got}) == 400 and {r.tier for r in got} == {"local_small", "mid_tier", "frontier"} and {r.split for r in got} == {"train", "calibration", "test"}
+    assert sorted(training.synthetic_examples(spark, 400, 3).collect()) == sorted(got) and training.synthetic_examples(spark, 0).count() == 0
+    assert publishing.check_hashes(rows) is rows and {r.prompt for r in training.synthetic_examples(spark, 5, 4).collect()}.isdisjoint(r.prompt for r in got)
+
+
+def test_staged_ids_are_sorted_through_the_files(spark, tmp_path):
+    rows = spark.range(3000).select(F.sha2(F.col("id").cast("string"), 256).alias("query_id"), F.when(F.col("id") % 10 < 9, "train").otherwise("test").alias("split"), F.lit(True).alias("text_included"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        io.stage(rows, str(tmp_path / "s"), "card")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "s" / "splits" / "split=train").glob("part-*.txt"))
+    ids = [x for f in files for x in f.read_text().split()]
+    assert len(ids) == 2700 and ids == sorted(ids) and len(files) > 1

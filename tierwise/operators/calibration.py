@@ -73,6 +73,24 @@ def questions(rows: DataFrame, of: Mapping[str, tuple[str, Sequence[str], str]],
     return rows.select(*keep, F.explode(F.array(*each)).alias("x")).select(*keep, "x.*")
 
 
+def bundle(rows: DataFrame, of: Mapping[str, Sequence[str]], checkpoint_sha: str, keep: Sequence[str] = ("query_id", "split")) -> DataFrame:
+    """keep, an array of floats for each name of of (name -> its columns of logits), and the hash of the checkpoint they are from: what is stored."""
+    arrays = [F.array(*(F.col(c).cast("float") for c in columns)).alias(name) for name, columns in of.items()]
+    return rows.select(*keep, *arrays, F.lit(checkpoint_sha).alias("checkpoint_config_sha256"))
+
+
+def unbundled(stored: DataFrame, of: Mapping[str, Sequence[str]], checkpoint_sha: str) -> DataFrame:
+    """stored with the columns of its arrays, in double precision; an error if there are no rows, or any is of another checkpoint or has an array of another length. Runs at once."""
+    bad = F.col("checkpoint_config_sha256").isNull() | (F.col("checkpoint_config_sha256") != checkpoint_sha)
+    for name, columns in of.items():
+        bad = bad | F.coalesce(F.size(name) != len(columns), F.lit(True))
+    found = stored.agg(F.count("*").alias("n"), F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("bad")).first()
+    if not found.n or found.bad:
+        raise ValueError(f"{found.n} rows of logits, {found.bad} of another checkpoint or shape")
+    rest = [c for c in stored.columns if c not in (*of, "checkpoint_config_sha256")]
+    return stored.select(*rest, *(F.get(name, F.lit(i)).cast("double").alias(c) for name, columns in of.items() for i, c in enumerate(columns)))
+
+
 def scaled(temperature: Column) -> tuple[Column, list[Column]]:
     """(log of the sum, scaled logits) over the options that a question has."""
     z = [F.col(c) / temperature for c in OPTIONS]

@@ -24,6 +24,8 @@ Reply with one JSON object only: {"verdict": "equivalent" | "acceptable" | "wors
 <candidate>
 %s
 </candidate>"""
+#: What can be wrong with a reply.
+PROBLEMS = ("there is no JSON object in it", "the verdict is unknown or has no reason")
 RETRY = """%s
 
 Your reply was:
@@ -58,6 +60,15 @@ def parse_replies(rows: DataFrame, reply: str = "reply") -> DataFrame:
     return parsed.withColumn("__good", F.coalesce(good, F.lit(False))).select(*rows.columns, F.when(F.col("__good"), verdict).alias("verdict"), F.when(F.col("__good"), reason).alias("reason"))
 
 
+def retries(rows: DataFrame, prompt: str = "prompt", reply: str = "reply") -> DataFrame:
+    """The rows whose reply gives no verdict, a null one included, with retry: the prompt to send again, which shows that reply and what is wrong with it."""
+    body = F.regexp_extract(F.col(reply), r"(?s)\{.*\}", 0)
+    no_object = F.coalesce(F.try_parse_json(F.when(F.length(body) > 0, body)).isNull(), F.lit(True))
+    problem = F.when(no_object, PROBLEMS[0]).otherwise(PROBLEMS[1])
+    asked = retry_prompt(F.col(prompt), F.coalesce(F.col(reply), F.lit("")), problem)
+    return parse_replies(rows.withColumn("retry", asked), reply).where("verdict is null").drop("verdict", "reason")
+
+
 def judge_independence(judges: DataFrame, runs: DataFrame, frontier: str = "frontier") -> DataFrame:
     """Base names of judge models that are also frontier models; none may be."""
     from tierwise.functions.exprs import base_model

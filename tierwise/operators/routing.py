@@ -13,6 +13,18 @@ from tierwise.tiers import FRONTIER, TIERS
 ABOVE_ONE = 1.0000000000000002
 
 
+def unpriced(runs: DataFrame, rates: DataFrame) -> DataFrame:
+    """tier, answers: tiers that answered but have no rate; eval_queries() would leave out all their queries."""
+    return runs.where("error is null").groupBy("tier").agg(F.count("*").alias("answers")).join(rates.select("tier"), "tier", "left_anti")
+
+
+def check_rates(runs: DataFrame, rates: DataFrame) -> DataFrame:
+    """rates as they are; an error that names the tiers that answered without one. Runs at once."""
+    if missing := sorted(r.tier for r in unpriced(runs, rates).collect()):
+        raise ValueError(f"no rates for {missing}")
+    return rates
+
+
 def eval_queries(predicted: DataFrame, runs: DataFrame, verdicts: DataFrame, rates: DataFrame, strict: bool = False) -> DataFrame:
     """query_id, predicted, confidence, cost0 .. cost2, ok0 .. ok2: predictions of queries that all three tiers answered.
 

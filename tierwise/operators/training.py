@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierwise.functions.exprs import hash_unit, log_sum_exp
+from tierwise.functions.exprs import hash_unit, log_sum_exp, query_id
 from tierwise.operators.ranking import RANGES, ranked
+from tierwise.tiers import SPLITS, TIERS
 
 
 def epoch_order(rows: DataFrame, seed: int, epochs: Sequence[int], key: str = "query_id") -> DataFrame:
@@ -43,3 +44,13 @@ def margin_loss(true_logit: Column, false_logit: Column, y: Column) -> Column:
 def question_losses(rows: DataFrame, loss: str = "loss", question: str = "question") -> DataFrame:
     """question, n, loss: the mean of each question."""
     return rows.groupBy(question).agg(F.count("*").alias("n"), F.avg(loss).alias("loss"))
+
+
+def synthetic_examples(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """n labelled examples made from hashes of their number, for trying out what reads examples: query_id, prompt, source, split, tier, needs_tools, needs_rag."""
+    unit = lambda what: hash_unit(F.lit(seed), F.lit(what), F.col("id"))
+    one_of = lambda what, names: F.get(F.array(*map(F.lit, names)), F.floor(unit(what) * len(names)).cast("int"))
+    prompt = F.concat(F.lit("made-up prompt "), F.col("id").cast("string"), F.lit(" of seed "), F.lit(str(seed)))
+    split = F.when(unit("split") < 0.7, SPLITS[0]).when(unit("split") < 0.85, SPLITS[1]).otherwise(SPLITS[2])
+    rows = spark.range(n).select(prompt.alias("prompt"), F.lit("synthetic").alias("source"), split.alias("split"), one_of("tier", TIERS).alias("tier"), (unit("tools") < 0.2).alias("needs_tools"), (unit("rag") < 0.2).alias("needs_rag"))
+    return rows.select(query_id(F.col("prompt")).alias("query_id"), *rows.columns)

@@ -12,6 +12,7 @@ from tierwise.operators import training as T
 from tierwise.plans.cost_queries import _RATES
 from tierwise.plans.label_queries import unit_sql
 from tierwise.registry import query
+from tierwise.sources import io
 from tierwise.sources.views import oracle, table, view
 
 TARGET = 0.9
@@ -238,6 +239,25 @@ def calibration_by_type(spark, sf_dir):
     return rounded(K.report_by_type(_questions(spark, sf_dir), fixed), *(f"{m}_{s}" for s in ("before", "after") for m in ("nll", "ece", "brier")), digits=6)
 
 
+_BUNDLE = {"logits_tier": ["z0", "z1", "z2"], "logits_tools": ["a0", "a1"], "logits_rag": ["b0", "b1"]}
+
+
+@query("logits_bundle", oracle("select query_id, split, y, " + ", ".join(f"round({c}::float::double, 4) as {c}" for columns in _BUNDLE.values() for c in columns) + " from v_options where split <> 'train'"))
+def logits_bundle(spark, sf_dir):
+    place = io.shared_place(spark)
+    rows = view(spark, sf_dir, "v_options").where("split <> 'train'")
+    io.export_logits(K.bundle(rows, _BUNDLE, "5f", ["query_id", "split", "y"]), place)
+    found = K.unbundled(spark.read.parquet(place), _BUNDLE, "5f")
+    return rounded(found, *(c for columns in _BUNDLE.values() for c in columns), digits=4)
+
+
+@query("unpriced_tiers", oracle("with rates as (" + _RATES.format(rows="v_ledger where tier <> 'judge' and tier_rank <> 1") + ") select tier, count(*) as answers from v_runs where error is null and tier not in (select tier from rates) group by tier"))
+def unpriced_tiers(spark, sf_dir):
+    # a ledger that lost the calls of one tier
+    rates = C.token_rates(view(spark, sf_dir, "v_ledger").where("tier <> 'judge' and tier_rank <> 1"))
+    return R.unpriced(view(spark, sf_dir, "v_runs"), rates)
+
+
 _UNIT = unit_sql("'7'", "'order'", "epoch", "query_id")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tierwise.operators import labels as L
 from tierwise.operators import shares
 from tierwise.registry import query
+from tierwise.sources import io
 from tierwise.sources.views import oracle, table, view
 from tierwise.tiers import tier_name, tiers
 
@@ -114,6 +115,14 @@ def build_examples(spark, sf_dir):
     return found.select("query_id", "source", "split", "tier", "needs_tools", "needs_rag", F.array_join("judged_tiers", ",").alias("judged_tiers"), F.round("frontier_cost_usd", 9).alias("frontier_cost_usd"), F.round("label_cost_usd", 9).alias("label_cost_usd"))
 
 
+@query("dataset_split", with_examples(BUILT + " where e.split = 'calibration'"))
+def dataset_split(spark, sf_dir):
+    # the dataset as written for its readers: a folder for each split, of which one is read
+    place = io.shared_place(spark)
+    io.write_dataset(build_examples(spark, sf_dir), place)
+    return io.read_split(spark, place, "calibration")
+
+
 @query("skip_reasons", with_examples("select case when not answered then 'no frontier' when not det then 'undetermined' else 'labelled' end as reason, count(*) as n from rea group by 1"))
 def skip_reasons(spark, sf_dir):
     return L.reasons(view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_verdicts")).groupBy("reason").agg(F.count("*").alias("n"))

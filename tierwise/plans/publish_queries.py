@@ -31,6 +31,18 @@ def judge_prompts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(J.judge_prompt(F.col("source"), F.col("text"), F.col("lang")), 256).alias("prompt_sha256"))
 
 
+_R1, _R2, _R3 = (x.replace("'", "''") for x in J.RETRY.split("%s")[1:])
+
+
+@query("retry_prompts", oracle(rf"""with j as (select doc_id, reply, regexp_extract(reply, '(?s)\{{.*\}}') as b from v_replies),
+k as (select doc_id, reply, json_valid(b) as object, case when json_valid(b) and json_type(b, '$.reason') = 'VARCHAR' and json_type(b, '$.verdict') = 'VARCHAR' then lower(trim(json_extract_string(b, '$.verdict'))) end as v from j)
+select k.doc_id, sha256('{_T0}' || source || '{_T1}' || text || '{_T2}' || lang || '{_T3}{_R1}' || substr(reply, 1, {J.CLIP}) || '{_R2}' || case when object then '{J.PROBLEMS[1]}' else '{J.PROBLEMS[0]}' end || '{_R3}') as retry_sha256
+from k join documents d on d.doc_id = k.doc_id where v is null or v not in ('equivalent', 'acceptable', 'worse')"""))
+def retry_prompts(spark, sf_dir):
+    asked = table(spark, sf_dir, "documents").select("doc_id", J.judge_prompt(F.col("source"), F.col("text"), F.col("lang")).alias("prompt"))
+    return J.retries(view(spark, sf_dir, "v_replies").join(asked, "doc_id")).select("doc_id", F.sha2("retry", 256).alias("retry_sha256"))
+
+
 @query("judge_independence", oracle("select distinct split_part(model, '/', 2) as name from v_runs where tier = 'frontier'"))
 def judge_independence(spark, sf_dir):
     # one more judge, which is the frontier's model at another provider

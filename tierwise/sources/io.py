@@ -151,10 +151,13 @@ def export_logits(rows: DataFrame, path: str, text: Sequence[str] = ("prompt", "
 
 
 def stage(public: DataFrame, path: str, card: str, extra: Mapping[str, str] | None = None) -> None:
-    """Everything to publish under one path: the dataset, sorted ids of each split, the card; the rebuild note only if text is withheld."""
+    """Everything to publish under one path: the dataset, ids of each split, the card; the rebuild note only if text is withheld.
+
+    Ids are sorted through the files of a split in the order of their names: ranges of about equal size, not a task for each split.
+    """
     spark = public.sparkSession
     public.write.mode("overwrite").parquet(f"{path}/dataset")
-    public.select("split", F.col("query_id").cast("string").alias("value")).repartition("split").sortWithinPartitions("split", "value").write.mode("overwrite").partitionBy("split").text(f"{path}/splits")
+    public.select("split", F.col("query_id").cast("string").alias("value")).repartitionByRange("split", "value").sortWithinPartitions("split", "value").write.mode("overwrite").partitionBy("split").text(f"{path}/splits")
     files = {"card": card, **(extra or {})}
     if public.where("not text_included").isEmpty():
         files.pop("rebuild", None)
