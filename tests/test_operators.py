@@ -442,3 +442,34 @@ def test_staged_ids_are_sorted_through_the_files(spark, tmp_path):
     files = sorted((tmp_path / "s" / "splits" / "split=train").glob("part-*.txt"))
     ids = [x for f in files for x in f.read_text().split()]
     assert len(ids) == 2700 and ids == sorted(ids) and len(files) > 1
+
+
+def test_latency_of_a_router(spark, tmp_path):
+    """Made once and warmed up in each partition; every text is timed once, rows without one are left out."""
+    from tierwise.operators import latency
+
+    log = str(tmp_path / "calls")
+
+    def router():
+        import time
+        import uuid
+
+        made = f"{log}-{uuid.uuid4().hex}"
+
+        def route(text):
+            with open(made, "a") as f:
+                f.write(f"{text}\n")
+            time.sleep(0.02 if text == "slow" else 0.0)
+            return "mid_tier"
+
+        return route
+
+    rows = spark.createDataFrame([(i, t, 0) for i, t in enumerate(["a", "slow", None, "", "b", "a"])], "query_id long, prompt string, tier int").coalesce(1)
+    got = {r.query_id: (r.tier, r.latency_ms) for r in latency.timed_routes(rows, router).collect()}
+    assert set(got) == {0, 1, 4, 5} and {t for t, _ in got.values()} == {"mid_tier"} and got[1][1] >= 20 > got[0][1]
+    calls = [f.read_text().split() for f in tmp_path.glob("calls-*")]
+    assert calls == [["a", "slow", "a", "slow", "b", "a"]]
+    told = latency.latency(latency.timed_routes(rows, router)).first()
+    assert told.n == 4 and told.p50 < 20 <= told.p99 + 1 and told.p95 <= told.p99
+    with pytest.raises(ValueError, match="no rows with a text"):
+        latency.latency(latency.timed_routes(rows.where("prompt = ''"), router))

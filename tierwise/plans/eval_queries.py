@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tierwise.operators import calibration as K
 from tierwise.operators import costs as C
+from tierwise.operators import latency as Y
 from tierwise.operators import metrics as M
 from tierwise.operators import routing as R
 from tierwise.operators import training as T
@@ -14,6 +15,7 @@ from tierwise.plans.label_queries import unit_sql
 from tierwise.registry import query
 from tierwise.sources import io
 from tierwise.sources.views import oracle, table, view
+from tierwise.tiers import TIERS
 
 TARGET = 0.9
 GRID = [round(0.5 + 0.05 * i, 2) for i in range(91)]
@@ -102,6 +104,18 @@ def latency_percentiles(spark, sf_dir):
     return rounded(M.percentiles(table(spark, sf_dir, "events"), "value"), "p50", "p95", "p99")
 
 
+def _by_length():
+    names = list(TIERS)
+    return lambda text: names[len(text) % len(names)]
+
+
+@query("timed_routes", "select doc_id as query_id, ['local_small', 'mid_tier', 'frontier'][length(text) % 3 + 1] as tier, true as timed from documents where length(text) > 0")
+def timed_routes(spark, sf_dir):
+    found = Y.timed_routes(table(spark, sf_dir, "documents"), _by_length, key="doc_id", prompt="text")
+    # how long it took differs from run to run
+    return found.select(F.col("doc_id").alias("query_id"), "tier", (F.col("latency_ms") >= 0).alias("timed"))
+
+
 def _queries(spark, sf_dir, split):
     rates = C.token_rates(C.answered_only(view(spark, sf_dir, "v_ledger"), view(spark, sf_dir, "v_runs")))
     return R.eval_queries(predicted(spark, sf_dir, split), view(spark, sf_dir, "v_runs"), view(spark, sf_dir, "v_verdicts"), rates)
