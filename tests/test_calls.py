@@ -340,3 +340,39 @@ def test_losses_are_equal_and_orders_replay(spark):
     one = order(1)
     assert one == order(7) and [x[:2] for x in one] == [(e, p) for e in (1, 2) for p in range(60)]
     assert sorted(x[2] for x in one[:60]) == list(range(60)) and [x[2] for x in one[:60]] != [x[2] for x in one[60:]]
+
+
+def _exchanges(df):
+    """How rows are dealt and which columns they have in every shuffle of a plan; only broadcasts that are asked for."""
+    import re
+
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "Exchange":
+            found.append((node.outputPartitioning().toString(), [x.split("#")[0] for x in re.findall(r"\w+#\d+", node.output().mkString(","))]))
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_judge_estimate_moves_no_text(spark):
+    """Prompts are counted before a shuffle, and rows of one model do not meet in one task."""
+    runs = [(q, t, f"m{t}", None if q == 3 else "x" * (4 * q), 1, "no" if (q, t) in ((5, 2), (6, 0)) else None) for q in range(1, 8) for t in range(3)]
+    runs = spark.createDataFrame(runs, "query_id bigint, tier_rank int, model string, prompt string, completion_tokens bigint, error string")
+    ledger = spark.createDataFrame([("m0", 10)] * 3 + [("m2", 30)] * 3 + [("m1", 5)] * 2, "model string, completion_tokens bigint").withColumn("latency_ms", F.lit(1.0))
+    found = costs.judge_estimate(runs, 250, "o/judge", ledger, 100)
+    # m1 has too few rows of history; query 3 has no prompt, 5 no reference, 6 one candidate
+    each = [250 + q + 8 + (10, 400)[t] + 30 for q in (1, 2, 4, 6, 7) for t in range(2) if (q, t) != (6, 0)]
+    assert tuple(found.first()) == (11, sum(each), 11 * 60, 1100)
+    assert tuple(costs.judge_estimate(runs.limit(0), 250, "o/judge", ledger, 100).first()) == (0, 0, 0, 0)
+    # a shuffle by model has a row for each pair of models and task at most
+    assert _exchanges(found) and all("prompt" not in columns for _, columns in _exchanges(found))
+    assert all("query_id" not in columns for by, columns in _exchanges(found) if "model" in by)
