@@ -376,3 +376,31 @@ def test_judge_estimate_moves_no_text(spark):
     # a shuffle by model has a row for each pair of models and task at most
     assert _exchanges(found) and all("prompt" not in columns for _, columns in _exchanges(found))
     assert all("query_id" not in columns for by, columns in _exchanges(found) if "model" in by)
+
+
+def test_batches_for_python_are_bounded(spark):
+    """Timed routes and calls get batches of a thousand rows and a few MB at most, however long the texts and however many."""
+    import pyarrow as pa
+
+    from tierwise.operators import latency
+    from tierwise.sources.batches import LIMITS
+
+    many = spark.range(0, 20000, 1, 1).select(F.col("id").alias("query_id"), F.expr("if(id < 300, repeat('x', 100000), 'y')").alias("prompt"), F.lit("m").alias("model"))
+
+    def measured(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+    for call in (lambda: latency.timed_routes(many, lambda: lambda text: "mid_tier"), lambda: calls.complete(calls.keyed(many), lambda: lambda prompt, model: {"completion": prompt[:1]})):
+        for name, value in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", "64m")):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", value)
+        try:
+            assert call().count() == 20000
+            rows, size = many.mapInArrow(measured, "rows long, size long").agg(F.max("rows"), F.max("size")).first()
+            assert rows <= 1000 and size < 8e6
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+            call()
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10
+        finally:
+            for name in LIMITS:
+                spark.conf.unset(name)

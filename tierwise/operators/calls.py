@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tierwise.functions.exprs import cache_key
 from tierwise.operators.costs import RETRYABLE, cut_off
 from tierwise.operators.joins import lookup
+from tierwise.sources.batches import small_batches
 
 #: A client: made once in each partition, then called with a prompt and a model. It returns completion, prompt_tokens, completion_tokens and usd (None if it knows no price), or raises.
 Client = Callable[[], Callable[[str, str], dict[str, Any]]]
@@ -93,13 +94,14 @@ def complete(calls: DataFrame, client: Client, retries: int = 3, base: float = 1
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = None
         for batch in batches:
-            rows = batch.to_pylist()
-            if not rows:
+            if not batch.num_rows:
                 continue
             ask = ask or client()
-            out = [attempted(ask, r["cache_key"], r["prompt"] or "", r["model"], retries, base, most, sleep) for r in rows]
+            rows = zip(*batch.columns, strict=True)
+            out = [attempted(ask, key.as_py(), prompt.as_py() or "", model.as_py(), retries, base, most, sleep) for key, prompt, model in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
+    small_batches(calls.sparkSession)
     return calls.select("cache_key", "prompt", "model").mapInArrow(run, ANSWER)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tierwise.operators.metrics import percentiles
+from tierwise.sources.batches import small_batches
 from tierwise.sources.io import written
 
 #: A router: made once in each partition, then called with a prompt. It returns the name of a tier.
@@ -30,20 +31,21 @@ def timed_routes(rows: DataFrame, router: Router, warm_up: int = WARM_UP, key: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         route = None
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if not texts:
+            if not batch.num_rows:
                 continue
+            texts = batch.column(1)
             if route is None:
                 route = router()
                 for i in range(warm_up):
-                    route(texts[i % len(texts)])
+                    route(texts[i % len(texts)].as_py())
             tiers, took = [], []
-            for text in texts:
+            for text in (x.as_py() for x in texts):
                 began = time.perf_counter()
                 tiers.append(route(text))
                 took.append((time.perf_counter() - began) * 1e3)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tiers, pa.string()), pa.array(took, pa.float64())], names=names)
 
+    small_batches(rows.sparkSession)
     return rows.select(key, F.col(prompt).cast("string")).where(F.length(prompt) > 0).mapInArrow(run, schema)
 
 
