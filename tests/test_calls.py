@@ -404,3 +404,20 @@ def test_batches_for_python_are_bounded(spark):
         finally:
             for name in LIMITS:
                 spark.conf.unset(name)
+
+
+def test_prompts_are_shuffled_for_calls_to_be_made_only(spark, data):
+    """Keys and token counts stand for prompts; those of calls to be made come back in one shuffle that no frequent prompt makes one task."""
+    from tierwise.sources.views import view
+
+    answers, runs, ledger = (view(spark, data, name) for name in ("v_answers", "v_runs", "v_ledger"))
+    prices = view(spark, data, "v_tiers").select("tier_rank", "p_in", "p_out", (F.col("tier_rank") == 0).alias("local"))
+    for found in (answers, costs.estimate(runs, answers, ledger, prices, 4096)):
+        assert _exchanges(found) and all(not {"prompt", "text"} & set(columns) for _, columns in _exchanges(found))
+    rows = [(1, 0, "a", "m"), (2, 0, "a", "m"), (3, 1, None, "m"), (None, 2, "c", "n"), (5, None, "d", "n"), (6, 0, "e", None)]
+    keyed = calls.keyed(spark.createDataFrame(rows, CALLS))
+    todo = calls.duplicates(keyed.drop("prompt")).where("not cached")
+    back = calls.with_prompts(todo, keyed)
+    assert {(r.query_id, r.tier_rank, r.prompt) for r in back.collect()} == {(1, 0, "a"), (3, 1, None), (None, 2, "c"), (5, None, "d")}
+    assert len([by for by, columns in _exchanges(back) if "prompt" in columns]) == 1
+    assert all("query_id" in by for by, columns in _exchanges(back) if "prompt" in columns)

@@ -57,6 +57,15 @@ def duplicates(calls: DataFrame, order: Sequence[str] = ("query_id", "tier_rank"
     return lookup(calls, first, ["cache_key"]).withColumn("cached", F.struct(*order) != F.col("__first")).drop("__first")
 
 
+def with_prompts(todo: DataFrame, calls: DataFrame, order: Sequence[str] = ("query_id", "tier_rank")) -> DataFrame:
+    """Those of keyed calls that are in todo (cache_key and order), with their prompts: these meet one shuffle, unsorted, and no key is one task."""
+    wanted = todo.select(F.col("cache_key").alias("__key"), *(F.col(c).alias(f"__{c}") for c in order)).distinct()
+    same = F.col("cache_key") == F.col("__key")
+    for c in order:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return calls.join(wanted.hint("shuffle_hash"), same, "left_semi")
+
+
 def delay(key: str, attempt: int, base: float, most: float) -> float:
     """Seconds before the next attempt: doubled each time up to a limit, times 0.5 to 1 by a hash of key and attempt."""
     unit = int.from_bytes(hashlib.sha256(f"{key}:{attempt}".encode()).digest()[:8]) / 2**64

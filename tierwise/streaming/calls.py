@@ -29,14 +29,18 @@ def answered(calls: DataFrame, name: str, client: C.Client, prices: DataFrame, p
     3. Then the answers join the cache, and all calls of the batch take theirs.
 
     A batch that is run again under its name goes on from what it has written: no call of a finished step is made again.
+    Keys stand for prompts: they are worked out once and written under path/calls/batch; only calls to be made meet their prompts again.
     """
     spark = calls.sparkSession
-    marked = C.duplicates(C.keyed(calls))
+    keyed, listed = C.keyed(calls), f"{path}/calls/batch={batch}"
+    keyed.select("query_id", "tier_rank", "model", "cache_key").write.mode("overwrite").option("compression", "zstd").parquet(listed)
+    marked = C.duplicates(spark.read.schema(keyed.select("query_id", "tier_rank", "model", "cache_key").schema).parquet(listed))
     staged = f"{path}/answers/batch={batch}"
     have = spark.catalog.tableExists(name)
     known = cache.read(spark, name) if have else spark.createDataFrame([], "cache_key string, model string, completion string, prompt_tokens bigint, completion_tokens bigint, cost_usd double, latency_s double, created_at timestamp, max_tokens int")
     if not exists(spark, f"{staged}/_SUCCESS"):
         todo = C.uncached_calls(marked.where("not cached"), known, cap)
+        todo = C.with_prompts(todo, keyed)
         C.priced(C.complete(todo, client, **policy), prices).withColumn("created_at", F.current_timestamp()).write.mode("overwrite").parquet(staged)
     answers = spark.read.parquet(staged)
     paid = answers.where("error is null").select(F.col("created_at").alias("ts"), "model", "prompt_tokens", "completion_tokens", F.col("cost_usd").alias("usd"), (F.col("latency_s") * 1000).alias("latency_ms"))
