@@ -757,3 +757,33 @@ def test_url_verdicts_of_all_pages_by_brute_force(spark, data):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_against_duckdb(spark, data, name):
     assert rows_of(queries()[name](spark, data)) == duck_rows(oracle_sql()[name], data)
+
+
+def test_language_model_is_fitted_in_bounded_memory():
+    """The driver turns the sample's presence flags into numbers block by block; the weights are those of the whole matrix."""
+    import tracemalloc
+
+    import numpy as np
+
+    from tierwise.llm import language_id
+
+    rng = np.random.default_rng(3)
+    n, marks = 2000, 50
+    langs = [("aa", "bb", "cc")[i % 3] for i in range(n)]
+    flags = (rng.random((n, language_id.FEATURES), np.float32) < 0.02).astype(np.uint8)
+    for i in range(n):
+        flags[i, i % 3 * 20 : i % 3 * 20 + 20] = 1
+    tracemalloc.start()
+    model = language_id.fit(flags, langs, marks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * language_id.FEATURES * 8 / 4
+    rows = flags / np.sqrt(flags.sum(axis=1, keepdims=True))
+    order = [i for j in range(n) for i in range(3 * j, min(n, 3 * j + 3))][:marks]
+    values, vectors = np.linalg.eigh(rows[order] @ rows[order].T)
+    good = values > 1e-8 * values.max()
+    to = rows[order].T @ (vectors[:, good] / np.sqrt(values[good]))
+    phi, share = rows @ to, np.array([1 / langs.count(x) for x in langs])[:, None]
+    goal = np.array([[1.0 if x == y else -1.0 for y in ("aa", "bb", "cc")] for x in langs])
+    weights = to @ np.linalg.solve((phi * share).T @ phi + language_id.RIDGE * np.eye(phi.shape[1]), (phi * share).T @ goal)
+    assert model.languages == ["aa", "bb", "cc"] and np.allclose(model.weights, weights, atol=1e-5)

@@ -84,15 +84,21 @@ def fit(flags: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge:
     languages = sorted(set(langs))
     if not languages:
         return None
-    rows = flags.astype(np.float64)
-    rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+
+    def unit(some: np.ndarray) -> np.ndarray:
+        rows = some.astype(np.float64)
+        rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+        return rows
+
     at = {x: [i for i, y in enumerate(langs) if y == x] for x in languages}
     turn = [own[j] for j in range(max(map(len, at.values()))) for own in at.values() if j < len(own)]
-    marks = rows[turn[:landmarks]]
+    marks = unit(flags[turn[:landmarks]])
     values, vectors = np.linalg.eigh(marks @ marks.T)
     good = values > 1e-8 * values.max()
     to_features = marks.T @ (vectors[:, good] / np.sqrt(values[good]))
-    phi = rows @ to_features
+    del marks
+    # the sample is never whole as numbers of 8 bytes
+    phi = np.concatenate([unit(flags[i : i + BATCH]) @ to_features for i in range(0, len(flags), BATCH)])
     # languages weigh the same however many texts they have
     share = np.array([1 / len(at[x]) for x in langs])
     goal = np.array([[1.0 if x == y else -1.0 for y in languages] for x in langs])
@@ -127,7 +133,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     found = map_arrow(rows.join(chosen, ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "h", "text"), run, "lang string, h bigint, bits binary")
     seen = sorted((r.h, r.lang, r.bits) for r in found.where("bits is not null").collect())
-    flags = np.array([np.unpackbits(np.frombuffer(b, np.uint8))[:FEATURES] for _, _, b in seen], np.uint8).reshape(-1, FEATURES)
+    bits = np.frombuffer(b"".join(b for _, _, b in seen), np.uint8).reshape(len(seen), -1) if seen else np.zeros((0, FEATURES // 8), np.uint8)
+    flags = np.unpackbits(bits, axis=1)[:, :FEATURES]
     return fit(flags, [x for _, x, _ in seen])
 
 
